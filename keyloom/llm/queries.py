@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "url_filter"]
+MODULES = ["line_dedup", "url_filter", "packing"]
 
 
 def _merged(kind: str) -> dict:

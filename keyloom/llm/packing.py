@@ -155,14 +155,15 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, order: tuple[str
     number = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order))
     ranked = dealt.withColumn("_row", number).join(sizes, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     ranked = ranked.select(*pieces.columns, "_rank")
-    n_cols = len(pieces.columns)
+    names = pieces.columns
+    n_cols, at = len(names), names.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank = batch.column(n_cols).to_numpy()
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+            length = batch.column(at).to_numpy()
             run = np.searchsorted(keys, (length << 48) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(base[run] + rank), pa.array(offset[run])], names=[*pieces.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(base[run] + rank), pa.array(offset[run])], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")

@@ -37,13 +37,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAP
     """(id, piece, start, length, ids_crc32): each text's ids, then ``end_id``, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(tokenizer_path)
+        tok = ChunkTokenizer.shared(tokenizer_path)
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             at = []
-            for row, text in enumerate(batch.column(1)):
-                buf = memoryview(tok.ids(text.as_py() or "") + end)
+            for row, ids in enumerate(i for lo in range(0, batch.num_rows, 50) for i in tok.many([t or "" for t in batch.column(1).slice(lo, 50).to_pylist()])):
+                buf = memoryview(ids + end)
                 for piece, lo in enumerate(range(0, len(buf), 4 * capacity)):
                     part = buf[lo : lo + 4 * capacity]
                     at.append(row)

@@ -11,11 +11,15 @@ import os
 import re
 import unicodedata
 
-#: Entries remembered in a task; the table starts anew beyond it.
-REMEMBERED = 250_000
+import numpy as np
+
+#: Entries remembered in a Python worker, about 220 bytes each; the table starts anew beyond it.
+REMEMBERED = 600_000
 #: Python splits at these, the tokenizer's expression does not: such texts go through it whole.
 _ODD = re.compile(r"[\x1c-\x1f]")
 _MARKS = ".,!?;:"
+_END = "</w>"
+_SHARED: dict[str, ChunkTokenizer] = {}
 
 
 class ChunkTokenizer:
@@ -29,37 +33,71 @@ class ChunkTokenizer:
         self.tok.encode_special_tokens = True
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
+
+    @classmethod
+    def shared(cls, path: str) -> ChunkTokenizer:
+        """One for each file in a Python worker, so that later tasks start with what earlier ones learned."""
+        if path not in _SHARED:
+            _SHARED[path] = cls(path)
+        return _SHARED[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of letters only: each is one run of ids, closed by an id that ends a word."""
+        if not words:
+            return []
+        buf = self._encode([" ".join(words)])[0]
+        stops = 4 * (np.flatnonzero(self.ends[np.frombuffer(buf, "<u4")]) + 1)
+        if len(stops) != len(words):
+            return self._encode(words)
+        stops = stops.tolist()
+        return [buf[lo:hi] for lo, hi in zip([0, *stops], stops)]  # noqa: B905  one stop more
 
     def _learn(self, chunks: set[str]) -> None:
-        """Marks that follow a letter or digit are a token run of their own, so "word." is "word" and "."."""
-        if len(self.known) + 2 * len(chunks) > self.remembered:
-            self.known.clear()
-        known, parts, need = self.known, {}, set()
+        """Marks that follow a word are a run of their own, so "word." is "word" and "."."""
+        known = self.known
+        if len(known) + 2 * len(chunks) > self.remembered:
+            known.clear()
+        words, others, marked = set(), [], []
         for c in chunks:
-            core = c.rstrip(_MARKS)
-            parts[c] = (core, c[len(core) :]) if core and core != c and core[-1].isalpha() else (c,)
-            need.update(p for p in parts[c] if p not in known)
-        need = list(need)
-        known.update(zip(need, self._encode(need), strict=True))
-        for c, p in parts.items():
-            known[c] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
+            core = c if c.isalpha() else c.rstrip(_MARKS)
+            if not core.isalpha():
+                others.append(c)
+                continue
+            if core not in known:
+                words.add(core)
+            if core is not c:
+                marked.append((c, core, c[len(core) :]))
+        new = list(words)
+        known.update(zip(new, self._encode_words(new), strict=True))
+        others += {m for _, _, m in marked if m not in known}
+        known.update(zip(others, self._encode(others), strict=True))
+        for c, core, marks in marked:
+            known[c] = known[core] + known[marks]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        split: list[list[str] | None] = []
+        for text in texts:
+            if _ODD.search(text):
+                split.append(None)
+                continue
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter
+            split.append(text.lower().split())
+        own = [c for c in split if c is not None]
+        new = set().union(*own).difference(self.known)
+        if new:
+            if len(self.known) + 2 * len(new) > self.remembered:
+                new = set().union(*own)
+            self._learn(new)
+        get = self.known.__getitem__
+        return [self._encode([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, split, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._encode([text])[0]
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter
-        chunks = text.lower().split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        known = self.known
-        self._learn({c for c in chunks if c not in known})
-        if len(self.known) >= len(known) and all(c in self.known for c in chunks):
-            return b"".join(map(self.known.__getitem__, chunks))
-        self._learn(set(chunks))  # the table was started anew
-        return b"".join(map(self.known.__getitem__, chunks))
+        return self.many([text])[0]

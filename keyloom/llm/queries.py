@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "url_filter", "packing", "lang_id", "quality_rank", "quality_crf", "near_dedup", "decontaminate", "token_count"]
+MODULES = ["line_dedup", "url_filter", "packing", "lang_id", "quality_rank", "quality_crf", "near_dedup", "decontaminate", "token_count", "licence_scan"]
 
 
 def _merged(kind: str) -> dict:

@@ -235,6 +235,26 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", ite
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def drop_leaks(docs: DataFrame, bench: DataFrame, *, item_col: str = "item_id", text_col: str = "text", edit_percent: int = EDIT_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, whole; nothing is shuffled."""
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    for rows in _blocks(bench, item_col, text_col, block_chars):
+        shared = spark.sparkContext.broadcast(index_items(rows, edit_percent=edit_percent))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 500):
+                    part = batch.slice(lo, 500)
+                    hits = find_in_texts([t or "" for t in part.column(at).to_pylist()], items) if items.ids else []
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[x[0] for x in hits]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 

@@ -64,4 +64,4 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str =
     """Haversine distance."""
     square = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
     a = square(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * square(lon2 - lon1)
-    return F.lit(2 * RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), a))) / F.lit(UNITS[unit])
+    return F.lit(2 * RADIUS) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a))) / F.lit(UNITS[unit])

@@ -2,8 +2,8 @@
 
 Texts become sets of hashed word shingles, in Arrow batches. Equal sets form classes at once; only
 a class's smallest doc_id goes on. Banded MinHash signatures put it into buckets. A bucket never
-yields all its pairs: in each round the first few members of every bucket (in one hash order for
-all buckets, so that copies meet the same ones) are compared with the bucket's members of other
+yields all its pairs: in each round the first few members of every bucket (in one order for all
+buckets, those in the fullest buckets first, so that copies meet what they were made from) are compared with the bucket's members of other
 components, then leave it; four times as many are taken in the next round, until no bucket spans
 two components. Every pair that shares a bucket is so either compared or already connected, which
 is all that components need, and a large group of near copies collapses after its first rounds.
@@ -211,19 +211,19 @@ def _linked(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
 
 
 def _components(entries: DataFrame, links: DataFrame, full: DataFrame, threshold: int, miss: float, hashes: int) -> tuple[DataFrame, DataFrame]:
-    """(id, comp) for ids of ``entries`` (key, id) and of ``links`` (a, b), which hold from the start, and all links found."""
+    """(id, comp) for ids of ``entries`` (key, id, w) and of ``links`` (a, b), which hold from the start, and all links found."""
     comps = entries.select("id").union(links.select(F.col("a").alias("id"))).union(links.select(F.col("b").alias("id"))).distinct()
     comps = cut(comps.withColumn("comp", F.col("id")), "comps")
     entries = cut(entries.withColumn("comp", F.col("id")), "entries")
     tested, found, pivots_each = None, links, FIRST_PIVOTS
-    order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit("pivot"), "id")))
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.col("w").desc(), F.xxhash64(F.lit("pivot"), "id")))
     while True:
         if not links.isEmpty():
             joined = links.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
             moved = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
             moved = moved.withColumnRenamed("id", "comp")
             comps = cut(comps.join(moved, "comp", "left").select("id", F.coalesce("label", "comp").alias("comp")), "comps")
-            entries = entries.join(moved, "comp", "left").select("key", "id", F.coalesce("label", "comp").alias("comp"))
+            entries = entries.join(moved, "comp", "left").select("key", "id", "w", F.coalesce("label", "comp").alias("comp"))
         live = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         entries = cut(entries.join(live, "key", "left_semi"), "entries")
         if entries.isEmpty():
@@ -253,9 +253,15 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: int = TH
     classes = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = some.join(classes.select(F.col("class_id").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "doc_id").where("f1 = g1 AND f2 = g2")
     spread = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    shared = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    entries = cut(spread.join(shared, "key", "left_semi").distinct(), "entries")
-    need = entries.select(F.col("id").alias("doc_id")).distinct()
+    # Of buckets with the same members, as a few copies share in many bands, one is enough.
+    members = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
+    shared = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *members).where("lo < hi")
+    shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    entries = cut(spread.join(shared, "key").distinct(), "entries")
+    # The text that copies were made from shares the fullest buckets: it is to be met first.
+    weight = entries.groupBy("id").agg(F.sum("n").alias("w"))
+    entries = cut(entries.join(weight, "id").select("key", "id", "w"), "entries")
+    need = weight.select(F.col("id").alias("doc_id"))
     full = cut(_full(docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi"), size, bands), "sets")
     member = rows.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
     member = cut(member.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")

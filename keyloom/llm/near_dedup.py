@@ -2,11 +2,17 @@
 
 Texts become sets of hashed word shingles, in Arrow batches. Equal sets form classes at once; only
 a class's smallest doc_id goes on. Banded MinHash signatures put it into buckets. A bucket never
-yields all its pairs: in each round the first few members of every bucket (in one order for all
-buckets, those in the fullest buckets first, so that copies meet what they were made from) are compared with the bucket's members of other
-components, then leave it; four times as many are taken in the next round, until no bucket spans
-two components. Every pair that shares a bucket is so either compared or already connected, which
-is all that components need, and a large group of near copies collapses after its first rounds.
+yields all its pairs: the first few members of every bucket (in one order for all buckets, those in
+the fullest buckets first, so that copies meet what they were made from) are compared with the
+bucket's members of other components, then leave it, and a large group of near copies collapses.
+
+What still shares a bucket across components is mostly unlike texts around a common passage. These
+documents are bucketed anew, by the rarest of their own shingles: with all shingles in one order of
+rising frequency, two sets of similarity t share one among the first (1 - t) n + 1 of each, and the
+first that they share leaves room for the overlap that t needs. Both conditions are exact, so no
+link is lost, and a common passage stands too far back to make a pair. Rounds of 16, 64 and so on go
+over these buckets until none spans two components. Every pair that shares a bucket is so either
+compared, ruled out exactly or already connected, which is all that components need.
 
 A pair is verified in steps: signatures are compared in batches of 32 hashes, and the pair is
 dropped once the posterior probability (uniform prior) that its similarity reaches the threshold
@@ -210,12 +216,40 @@ def _linked(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _rare_entries(entries: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
+    """(key, id, w, n, pos) for the ids of ``entries``: the shingles of the front part of each set,
+    rarest first, that another id has there too; pos is a shingle's place in its set."""
+    ids = cut(entries.select("id", "w").distinct(), "rest")
+    kind = full.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 50):
+                part = batch.slice(lo, 50)
+                sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column(2)]
+                n = np.array([len(x) for x in sets], np.int64)
+                at = pa.array(np.repeat(np.arange(len(sets)), n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["id", "w", "n", "key"])
+
+    own = full.join(ids, "id").select("id", "w", "shingles").mapInArrow(run, f"id {kind}, w long, n long, key long")
+    own = cut(own, "shingles")
+    often = own.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = Window.partitionBy("id")
+    place = F.col("n") - F.count(F.lit(1)).over(each) + F.row_number().over(each.orderBy("df", "key")) - 1  # those of one id only come first
+    front = own.join(often, "key").withColumn("pos", place.cast("long"))
+    front = cut(front.where((100 - threshold) * F.col("n") >= 100 * F.col("pos")), "front")
+    # Of shingles that the same ids have, the first in order stands for all.
+    seen = front.groupBy("key", "df").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")).where("m > 1")
+    first = seen.groupBy("m", "x", "y").agg(F.min(F.struct("df", "key")).alias("best")).select(F.col("best.key").alias("key"))
+    return front.join(first, "key", "left_semi").select("key", "id", "w", "n", "pos")
+
+
 def _components(entries: DataFrame, links: DataFrame, full: DataFrame, threshold: int, miss: float, hashes: int) -> tuple[DataFrame, DataFrame]:
-    """(id, comp) for ids of ``entries`` (key, id, w) and of ``links`` (a, b), which hold from the start, and all links found."""
+    """(id, comp) for ids of ``entries`` (key, id, w, n, pos) and of ``links`` (a, b), which hold from the start, and all links found."""
     comps = entries.select("id").union(links.select(F.col("a").alias("id"))).union(links.select(F.col("b").alias("id"))).distinct()
     comps = cut(comps.withColumn("comp", F.col("id")), "comps")
     entries = cut(entries.withColumn("comp", F.col("id")), "entries")
-    tested, found, pivots_each = None, links, FIRST_PIVOTS
+    tested, found, pivots_each, rare = None, links, FIRST_PIVOTS, False
     order = F.row_number().over(Window.partitionBy("key").orderBy(F.col("w").desc(), F.xxhash64(F.lit("pivot"), "id")))
     while True:
         if not links.isEmpty():
@@ -223,13 +257,17 @@ def _components(entries: DataFrame, links: DataFrame, full: DataFrame, threshold
             moved = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
             moved = moved.withColumnRenamed("id", "comp")
             comps = cut(comps.join(moved, "comp", "left").select("id", F.coalesce("label", "comp").alias("comp")), "comps")
-            entries = entries.join(moved, "comp", "left").select("key", "id", "w", F.coalesce("label", "comp").alias("comp"))
+            entries = entries.join(moved, "comp", "left").select("key", "id", "w", "n", "pos", F.coalesce("label", "comp").alias("comp"))
         live = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         entries = cut(entries.join(live, "key", "left_semi"), "entries")
         if entries.isEmpty():
             return comps, found
-        pivots = cut(entries.withColumn("n", order).where(F.col("n") <= pivots_each).select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivots")
-        pairs = entries.join(pivots, "key").where("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        if tested is not None and not rare:
+            entries, links, rare = _rare_entries(entries, full, threshold).join(comps, "id"), links.limit(0), True
+            continue
+        pivots = cut(entries.withColumn("nth", order).where(F.col("nth") <= pivots_each).select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos")), "pivots")
+        room = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos"))  # the most that they can share
+        pairs = entries.join(pivots, "key").where("comp <> pivot_comp").where(room * (100 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
@@ -252,15 +290,15 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: int = TH
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = some.join(classes.select(F.col("class_id").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), "doc_id").where("f1 = g1 AND f2 = g2")
-    spread = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    spread = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     # Of buckets with the same members, as a few copies share in many bands, one is enough.
     members = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
     shared = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *members).where("lo < hi")
-    shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.col("n").alias("size"))
     entries = cut(spread.join(shared, "key").distinct(), "entries")
     # The text that copies were made from shares the fullest buckets: it is to be met first.
-    weight = entries.groupBy("id").agg(F.sum("n").alias("w"))
-    entries = cut(entries.join(weight, "id").select("key", "id", "w"), "entries")
+    weight = entries.groupBy("id").agg(F.sum("size").alias("w"))
+    entries = cut(entries.join(weight, "id").select("key", "id", "w", "n", F.lit(0).cast("long").alias("pos")), "entries")
     need = weight.select(F.col("id").alias("doc_id"))
     full = cut(_full(docs.join(need.hint("shuffle_hash"), "doc_id", "left_semi"), size, bands), "sets")
     member = rows.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")

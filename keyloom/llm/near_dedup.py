@@ -241,7 +241,13 @@ def _rare_entries(entries: DataFrame, full: DataFrame, threshold: int) -> DataFr
     # Of shingles that the same ids have, the first in order stands for all.
     seen = front.groupBy("key", "df").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")).where("m > 1")
     first = seen.groupBy("m", "x", "y").agg(F.min(F.struct("df", "key")).alias("best")).select(F.col("best.key").alias("key"))
-    return front.join(first, "key", "left_semi").select("key", "id", "w", "n", "pos")
+    front = front.join(first, "key", "left_semi")
+    # An id stays where the smallest set and the most room of a bucket leave it a partner.
+    bounds = front.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most"))
+    room = F.least(F.col("n") - F.col("pos"), F.col("most"))
+    partner = F.greatest(threshold * F.col("n"), 100 * F.col("least"))  # a partner's size, in hundredths
+    fits = room * 100 * (100 + threshold) >= threshold * (100 * F.col("n") + partner)
+    return front.join(bounds, "key").where(fits).select("key", "id", "w", "n", "pos")
 
 
 def _components(entries: DataFrame, links: DataFrame, full: DataFrame, threshold: int, miss: float, hashes: int) -> tuple[DataFrame, DataFrame]:

@@ -178,6 +178,12 @@ def hgetall(spark, d):
     return maps.select("key", F.explode("fields").alias("field", "value"))
 
 
+@book.add(f"WITH {HASH} SELECT key, field, value FROM h")
+def hgetall_all(spark, d):
+    maps = H.hgetall(order_hashes(spark, d))
+    return maps.select("key", F.explode("fields").alias("field", "value"))
+
+
 @book.add("SELECT n AS pos, n * 2 AS key, f AS field, CASE f WHEN 'status' THEN o_orderstatus ELSE NULL END AS value FROM (SELECT unnest(range(0, 2000)) AS n), (VALUES ('status'), ('missing')) t(f) LEFT JOIN orders ON o_orderkey = n * 2")
 def hmget(spark, d):
     request = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("key"), F.explode(F.array(F.lit("status"), F.lit("missing"))).alias("field"))

@@ -18,6 +18,7 @@ book = Book()
 NOW = 1705276800000
 LOG = "log AS (SELECT o_custkey AS key, o_orderkey AS seq, o_orderstatus AS value FROM orders)"
 EXP = "ex AS (SELECT event_id AS key, epoch_us(ts) // 1000 + round(value * 60000)::BIGINT AS expire_at FROM events)"
+SEGMENT = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
 HASH = "h AS (SELECT o_orderkey AS key, field, value FROM (SELECT o_orderkey, o_custkey::VARCHAR AS custkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders) UNPIVOT (value FOR field IN (custkey, status, priority)))"
 
 
@@ -25,6 +26,11 @@ def _orders(spark, d):
     return read_table(spark, d, "orders")
 
 
+def _segment(spark, d):
+    """The keys that exist before a write: the customers of one segment, a part that grows with the input."""
+    return read_table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
+
+
 @book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log GROUP BY key")
 def set_lww(spark, d):
     return T.set_last(order_log(spark, d))
@@ -41,6 +47,11 @@ def set_xx(spark, d):
     return T.setxx(log.where("seq >= 1000"), T.set_last(log.where("seq < 1000")))
 
 
+@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE key IN ({SEGMENT}) GROUP BY key")
+def set_xx_all(spark, d):
+    return T.setxx(order_log(spark, d), _segment(spark, d))
+
+
 @book.add("SELECT c_custkey + 1 AS pos, c_custkey * 3 AS key, o.value FROM customer LEFT JOIN (SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY 1) o ON o.key = c_custkey * 3")
 def mget(spark, d):
     request = read_table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("pos"), (F.col("c_custkey") * 3).alias("key"))
@@ -94,6 +105,12 @@ def msetnx_refused(spark, d):
     return T.msetnx(T.set_last(log.where("seq < 1000")), T.set_last(log))
 
 
+@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE key IN ({SEGMENT}) GROUP BY key")
+def msetnx_refused_all(spark, d):
+    kv = T.set_last(order_log(spark, d))
+    return T.msetnx(kv.join(_segment(spark, d), "key", "left_semi"), kv)
+
+
 @book.add(f"WITH {EXP} SELECT key, CASE WHEN expire_at IS NULL OR expire_at <= {NOW} THEN -2 ELSE expire_at - {NOW} END AS pttl FROM ex")
 def ttl_remaining(spark, d):
     e = expiring_events(spark, d)

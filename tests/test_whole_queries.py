@@ -26,3 +26,9 @@ def tables(spark, tmp_path_factory):
 def test_hgetall_returns_every_hash(spark, tables):
     got = rows(QUERIES["hgetall_all"](spark, tables))
     assert got == sorted([(k, f, v) for k in range(FIRST, FIRST + 40) for f, v in (("custkey", str(k % 8 + FIRST)), ("status", f"s{k}"), ("priority", "1-URGENT"))], key=repr)
+
+
+def test_set_xx_reads_the_whole_log(spark, tables):
+    last = [(k, f"s{k + 32}") for k in range(FIRST, FIRST + 8) if k % 4 < 2]
+    assert rows(QUERIES["set_xx_all"](spark, tables)) == last
+    assert rows(QUERIES["msetnx_refused_all"](spark, tables)) == last

@@ -207,6 +207,13 @@ def hmget(spark, d):
     return H.hmget(order_hashes(spark, d), request)
 
 
+@book.add("SELECT o_orderkey AS pos, k AS key, f AS field, CASE f WHEN 'status' THEN status END AS value FROM (SELECT o_orderkey, unnest([o_orderkey, -1 - o_orderkey]) AS k FROM orders) r CROSS JOIN (VALUES ('status'), ('missing')) t(f) LEFT JOIN (SELECT o_orderkey AS ok, o_orderstatus AS status FROM orders) o ON ok = k")
+def hmget_all(spark, d):
+    keys = _orders(spark, d).select(F.col("o_orderkey").alias("pos"), F.explode(F.array(F.col("o_orderkey"), -1 - F.col("o_orderkey"))).alias("key"))
+    request = keys.select("pos", "key", F.explode(F.array(F.lit("status"), F.lit("missing"))).alias("field"))
+    return H.hmget(order_hashes(spark, d), request)
+
+
 @book.add("SELECT user_id AS key, event_type AS field, sum((value * 100)::BIGINT)::BIGINT AS value FROM events GROUP BY 1, 2")
 def hincrby(spark, d):
     e = read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("field"), F.round(F.col("value") * 100).cast("long").alias("delta"))

@@ -32,3 +32,9 @@ def test_set_xx_reads_the_whole_log(spark, tables):
     last = [(k, f"s{k + 32}") for k in range(FIRST, FIRST + 8) if k % 4 < 2]
     assert rows(QUERIES["set_xx_all"](spark, tables)) == last
     assert rows(QUERIES["msetnx_refused_all"](spark, tables)) == last
+
+
+def test_hmget_asks_for_every_order(spark, tables):
+    got = rows(QUERIES["hmget_all"](spark, tables))
+    want = [(k, key, field, f"s{k}" if (key, field) == (k, "status") else None) for k in range(FIRST, FIRST + 40) for key in (k, -1 - k) for field in ("status", "missing")]
+    assert got == sorted(want, key=repr)

@@ -28,9 +28,13 @@ def bytes_of(bits: DataFrame) -> DataFrame:
     return bits.groupBy("key").agg((F.floor(F.max("bit") / 8) + 1).cast("long").alias("n_bytes"))
 
 
-def bitcount(bits: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
-    """Ones within an inclusive byte range; keys without any are absent."""
+def bitcount(bits: DataFrame, start: int = 0, end: int = -1, *, unit: str = "BYTE") -> DataFrame:
+    """Ones within an inclusive range of bytes, or of bits with ``unit`` BIT; keys without any are absent."""
     rows = bits
+    if unit == "BIT":
+        size = bytes_of(bits).select("key", (F.col("n_bytes") * 8).alias("_n"))
+        at = lambda i: F.col("_n") + i if i < 0 else F.lit(i)
+        return bits.join(size, "key").where(F.col("bit").between(at(start), at(end))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     if start or end != -1:
         size = bytes_of(bits).withColumnRenamed("n_bytes", "_n")
         place = lambda i: F.greatest(F.col("_n") + i, F.lit(0)) if i < 0 else F.lit(i)

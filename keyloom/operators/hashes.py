@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.globs import matches
+from keyloom.operators.keyspace import live
 
 
 def hset(log: DataFrame) -> DataFrame:
@@ -72,6 +73,21 @@ def httl(h: DataFrame, request: DataFrame, now: int) -> DataFrame:
     return at.select("key", "field", F.when(F.col("_in").isNull(), F.lit(-2)).when(F.col("expire_at").isNull(), F.lit(-1)).otherwise(F.floor((F.col("expire_at") - now) / 1000)).cast("long").alias("ttl"))
 
 
+def hpersist(h: DataFrame, request: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(key, field, code) of each request, 1 where a deadline was dropped and -1 else, and the fields after."""
+    alive = live(h, now)
+    had = alive.where("expire_at IS NOT NULL").select("key", "field", F.lit(True).alias("_p"))
+    reply = request.select("key", "field").join(had, ["key", "field"], "left").select("key", "field", F.when(F.col("_p"), 1).otherwise(-1).alias("code"))
+    asked = request.select("key", "field", F.lit(True).alias("_p")).distinct()
+    after = alive.join(asked, ["key", "field"], "left")
+    return reply, after.withColumn("expire_at", F.when(F.col("_p").isNull(), F.col("expire_at"))).drop("_p")
+
+
+def hcollect(h: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """How many fields of each key have expired, and the fields without them."""
+    return h.groupBy("key").agg(F.count_if(F.col("expire_at") <= now).alias("n")), live(h, now)
+
+
 def hscan(h: DataFrame, cursor: int, *, pattern: str = "*", count: int = 10) -> DataFrame:
     page = h.withColumn("_i", F.row_number().over(Window.partitionBy("key").orderBy("field")))
     page = page.where((F.col("_i") > cursor) & (F.col("_i") <= cursor + count)).drop("_i")

@@ -46,6 +46,19 @@ def persist(df: DataFrame, keys: DataFrame) -> DataFrame:
     return hit.withColumn("expire_at", F.when(F.col("_p").isNull(), F.col("expire_at"))).drop("_p")
 
 
+def getex(kv: DataFrame, keys: DataFrame, now: int, new_at: Column | None = None, *, drop: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The values of ``keys`` (null where there is none) and the snapshot after: their deadline is
+    ``new_at``, or dropped (PERSIST), or left as it is; one that is not in the future deletes."""
+    alive = live(kv, now)
+    reply = keys.join(alive.select("key", "value"), "key", "left")
+    if drop:
+        return reply, persist(alive, keys.distinct())
+    if new_at is None:
+        return reply, alive
+    hit = alive.join(keys.select("key").distinct().withColumn("_g", F.lit(True)), "key", "left")
+    return reply, live(hit.withColumn("expire_at", F.when(F.col("_g"), new_at).otherwise(F.col("expire_at"))), now).drop("_g")
+
+
 def expdelscan(df: DataFrame, now: int) -> DataFrame:
     return df.agg(F.count_if(F.col("expire_at") <= now).alias("expired"), F.count(F.lit(1)).alias("scanned"))
 

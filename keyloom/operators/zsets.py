@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.globs import matches
 from keyloom.functions.ranges import index_range, lex_within, score_within
+from keyloom.operators.keyspace import live
 
 
 def _order(rev: bool = False) -> list[Column]:
@@ -171,3 +172,46 @@ def zscan(z: DataFrame, cursor: int, *, pattern: str = "*", count: int = 10) ->
     page = z.withColumn("_i", F.row_number().over(Window.partitionBy("key").orderBy("member")))
     page = page.where((F.col("_i") > cursor) & (F.col("_i") <= cursor + count)).drop("_i")
     return page.where(matches(F.col("member").cast("string"), pattern, keys=True))
+
+
+def zexpire(z: DataFrame, request: DataFrame, now: int, condition: str = "") -> tuple[DataFrame, DataFrame]:
+    """request: (key, member, new_at), ms, each member once. (key, member, code): -2 not there, 0 the
+    condition failed, 1 set, 2 deleted at once; and the members with their expire_at after."""
+    old, new = F.col("expire_at"), F.col("new_at")
+    ok = {"": F.lit(True), "NX": old.isNull(), "XX": old.isNotNull(), "GT": old.isNotNull() & (new > old), "LT": old.isNull() | (new < old)}[condition]
+    done = F.when(~F.coalesce(ok, F.lit(False)), 0).when(new <= now, 2).otherwise(1)
+    alive, asked = live(z, now), request.select("key", "member", "new_at")
+    held = alive.select("key", "member", "expire_at", F.lit(True).alias("_in"))
+    reply = asked.join(held, ["key", "member"], "left").select("key", "member", F.when(F.col("_in").isNull(), -2).otherwise(done).alias("code"))
+    hit = alive.join(asked, ["key", "member"], "left").withColumn("_c", F.when(new.isNull(), 0).otherwise(done))
+    return reply, hit.where("_c <> 2").withColumn("expire_at", F.when(F.col("_c") == 1, new).otherwise(old)).drop("_c", "new_at")
+
+
+def _deadline(z: DataFrame, request: DataFrame, now: int, of_it: Column, name: str) -> DataFrame:
+    held = live(z, now).select("key", "member", "expire_at", F.lit(True).alias("_in"))
+    at = request.select("key", "member").join(held, ["key", "member"], "left")
+    return at.select("key", "member", F.when(F.col("_in").isNull(), F.lit(-2)).when(F.col("expire_at").isNull(), F.lit(-1)).otherwise(of_it).cast("long").alias(name))
+
+
+def zttl(z: DataFrame, request: DataFrame, now: int) -> DataFrame:
+    """Milliseconds, under both names of the command; -1 without a deadline, -2 without the member."""
+    return _deadline(z, request, now, F.col("expire_at") - now, "ttl")
+
+
+def zexpiretime(z: DataFrame, request: DataFrame, now: int, *, seconds: bool = True) -> DataFrame:
+    """The deadline in truncated seconds, or in ms."""
+    return _deadline(z, request, now, F.floor(F.col("expire_at") / 1000) if seconds else F.col("expire_at"), "expiretime")
+
+
+def zpersist(z: DataFrame, request: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(key, member, done) of each request, and the members after."""
+    alive = live(z, now)
+    had = alive.where("expire_at IS NOT NULL").select("key", "member", F.lit(True).alias("_p"))
+    reply = request.select("key", "member").join(had, ["key", "member"], "left").select("key", "member", F.col("_p").isNotNull().alias("done"))
+    after = alive.join(request.select("key", "member", F.lit(True).alias("_p")).distinct(), ["key", "member"], "left")
+    return reply, after.withColumn("expire_at", F.when(F.col("_p").isNull(), F.col("expire_at"))).drop("_p")
+
+
+def zcollect(z: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """How many members of each key have expired, and the set without them."""
+    return z.groupBy("key").agg(F.count_if(F.col("expire_at") <= now).alias("n")), live(z, now)

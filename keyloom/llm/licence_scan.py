@@ -3,13 +3,17 @@
 A paragraph is one \\n-separated line of a text. Its lower-cased words and word pairs are the
 features of a multinomial logistic regression over the licence families and an unknown class. It is
 trained in numpy on spans of the templates, mixed with corpus words, and on a bounded sample of
-corpus lines (``SAMPLE`` texts by hash order, ``SAMPLE_CHARS`` characters of each) that no template
-resembles; a temperature is fitted on a part held back, so that probabilities are calibrated and
+corpus lines (``SAMPLE`` texts by hash order, ``SAMPLE_CHARS`` characters of each, the first
+``SAMPLE_LINES`` lines of these) that no template resembles; a temperature is fitted on a part held back, so that probabilities are calibrated and
 "unknown" is chosen where it is likelier. A family counts only when the share of the paragraph's
 word pairs found in one template of the family, or of that template's in the paragraph, is at least
 ``MIN_ALIKE``. Lines whose features cannot outweigh the unknown class, by an upper bound of their
 sum, skip the exact scores.
 
+A line that is not confirmed as a whole is looked at again by its sentences and by half overlapping
+windows of ``WINDOW`` words, twice as many and so on to twice the longest template, so that a notice
+within a long line keeps its evidence. The likeliest confirmed part stands for the line.
+
 Every text is read whole, in Arrow batches; null and empty texts hold nothing. Repeated rows give
 repeated results. Columns other than the id and the text are not read.
 """
@@ -30,9 +34,12 @@ from keyloom.sources import read_table
 
 SAMPLE = 400
 SAMPLE_CHARS = 2000
+SAMPLE_LINES = 6000
+WINDOW = 8
 MIN_ALIKE = 0.6
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[a-z0-9]+")
+_SENTENCE = re.compile(r"[.!?;](?:\s|$)")
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -73,7 +80,7 @@ def train(corpus_lines: list[str], *, spans: int = 200, steps: int = 250, penalt
     split = {f: [words_of(t) for t in ts] for f, ts in TEMPLATES.items()}
     templates = {f: [_pairs(w) for w in ws] for f, ws in split.items()}
     every = [t for ts in templates.values() for t in ts]
-    lines = [w for w in map(words_of, corpus_lines) if w and alike(w, every) < 0.3][:6000]
+    lines = [w for w in map(words_of, corpus_lines) if w and alike(w, every) < 0.3][:SAMPLE_LINES]
     pool = [x for w in lines for x in w] or ["lorem"]
     samples: list[tuple[list[str], int]] = [(w, len(families) - 1) for w in lines]
     for k, (_, ws) in enumerate(split.items()):
@@ -125,6 +132,37 @@ def classify(words: list[str], model: LicenceModel) -> tuple[str, float]:
     return model.families[int(p.argmax())], float(p.max())
 
 
+def windows(gains: list[float], pairs: list[float], model: LicenceModel) -> Iterator[tuple[int, int]]:
+    """The windows (from, to) of a line, by sizes, whose features can outweigh the unknown class and
+    that hold two pairs of templates, as no window with fewer is confirmed."""
+    w, p = np.concatenate([[0.0], np.cumsum(gains)]), np.concatenate([[0.0], np.cumsum(pairs)])
+    held = np.concatenate([[0], np.cumsum(np.array(pairs) != 0)])
+    n, size = len(gains), WINDOW
+    longest = max(len(t) + 1 for ts in model.templates.values() for t in ts)
+    while size < n:
+        lo = np.append(np.arange(0, n - size, size // 2), n - size)
+        most = w[lo + size] - w[lo] + p[lo + size - 1] - p[lo]
+        yield from ((i, i + size) for i in lo[(most / size**0.5 + model.start > 0) & (held[lo + size - 1] - held[lo] > 1)].tolist())
+        if size >= 2 * longest:
+            break
+        size *= 2
+
+
+def best_part(line: str, words: list[str], gains: list[float], pairs: list[float], model: LicenceModel) -> tuple[str, float, float] | None:
+    """The likeliest confirmed sentence or window of a line."""
+    if not any(pairs):  # no part is like a template
+        return None
+    gain = model.margin.get
+    sentences = [x for x in map(words_of, _SENTENCE.split(line)) if any([gain(p) for p in zip(x, x[1:])])]  # noqa: B905
+    parts = [*(x for x in sentences if len(x) < len(words)), *(words[lo:hi] for lo, hi in windows(gains, pairs, model))]
+    best = None
+    for part in parts:
+        family, p = classify(part, model)
+        if family != UNKNOWN and (best is None or p > best[1]) and (same := alike(part, model.templates[family])) >= MIN_ALIKE:
+            best = (family, p, same)
+    return best
+
+
 def scan_text(text: str, model: LicenceModel) -> list[tuple[int, str, float, float]]:
     """(line, family, probability, likeness) of the confirmed paragraphs, lines from 0."""
     out = []
@@ -133,13 +171,15 @@ def scan_text(text: str, model: LicenceModel) -> list[tuple[int, str, float, flo
         words = words_of(line)
         if not words:
             continue
-        most = sum([gain(w, 0.0) for w in words])
+        gains = [gain(w, 0.0) for w in words]
         pairs = [gain(p, 0.0) for p in zip(words, words[1:])]  # noqa: B905
-        if (most + sum(pairs)) / len(words) ** 0.5 + model.start <= 0:
-            continue
-        family, p = classify(words, model)
-        if family != UNKNOWN and (same := alike(words, model.templates[family])) >= MIN_ALIKE:
-            out.append((n, family, p, same))
+        if (sum(gains) + sum(pairs)) / len(words) ** 0.5 + model.start > 0:
+            family, p = classify(words, model)
+            if family != UNKNOWN and (same := alike(words, model.templates[family])) >= MIN_ALIKE:
+                out.append((n, family, p, same))
+                continue
+        if part := best_part(line, words, gains, pairs, model):
+            out.append((n, *part))
     return out
 
 

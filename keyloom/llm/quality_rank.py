@@ -6,7 +6,8 @@ label 1 preferred to one of label 0; weights are learned by logistic loss on fea
 The threshold is a quantile of all documents' scores: of ``LEVELS`` quantiles, that with the fewest
 errors on all labelled rows that may be learned from. score is the logistic of the distance to it.
 
-A null text is an empty one. Labels that contradict each other for one id, null labels and null
+A null text is an empty one; a long one is read line by line in strides. Columns other than the id
+and the text are not read. Labels that contradict each other for one id, null labels and null
 ids are not learned from; without labels of both kinds every score is 0.5. Repeated rows each get
 their row.
 """
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.linefeat import per_text, read_lines, repeated_words
+from keyloom.llm.sampling import agreed_labels, count_labels, hash_sample
 from keyloom.llm.scratch import cut
-from keyloom.llm.text import fold
+from keyloom.llm.text import fold, text_groups
 from keyloom.sources import read_table
 
 SAMPLE = 4000
@@ -65,11 +67,12 @@ def feature_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
-                x = text_features([t or "" for t in part.column(1).to_pylist()])
+            lo = 0
+            for texts in text_groups(batch.column(1)):
+                x = text_features(texts)
                 flat = pa.array(x.ravel(), pa.float32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)], names=[id_col, "feats"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)], names=[id_col, "feats"])
+                lo += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, feats array<float>")
@@ -89,40 +92,59 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, *, pairs: int = PAIRS, steps: i
     return w / scale
 
 
-def _raw(weights: np.ndarray) -> Column:
-    return F.aggregate(F.zip_with("feats", F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+def raw_scores(feats: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id") -> DataFrame:
+    """(id, raw): the weighted sum of each row's features."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.astype(np.float64) @ weights)], names=[id_col, "raw"])
 
-def score_quality(feats: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``feats`` (a stored table) with score and predicted; ``learn``: which ids may be learned from."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("_low"), F.max(label_col).alias("_y")).where("_low = _y")
-    known = feats.where(F.coalesce(learn, F.lit(False))).join(known.select(id_col, "_y"), id_col)
-    first = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.lit("pick"), id_col)))
-    got = known.withColumn("_n", first).where(F.col("_n") <= SAMPLE).select("_y", "_n", "feats").collect()  # 2 * SAMPLE rows at most
-    got.sort(key=lambda r: (r["_y"], r["_n"]))
-    good, bad = (np.array([r["feats"] for r in got if r["_y"] == y], np.float64) for y in (1, 0))
-    out = feats.drop("score", "predicted")
-    if not len(good) or not len(bad):
-        return out.drop("feats").withColumns({"score": F.lit(0.5), "predicted": F.lit(1)})
-    raw = _raw(fit_pairs(good, bad))
-    levels = out.select(F.percentile_approx(raw, [k / LEVELS for k in range(1, LEVELS)], 20_000).alias("q")).first()["q"]
-    levels = np.unique(np.array(levels, np.float64))
-    bucket = F.lit(0)
-    if len(levels):
-        cuts = F.array(*[F.lit(float(x)) for x in levels])
-        bucket = F.size(F.filter(cuts, lambda c: c <= F.col("_raw")))
-    seen = known.withColumn("_raw", raw).groupBy(bucket.alias("_b"), "_y").agg(F.count(F.lit(1)).alias("_n")).collect()  # 2 * LEVELS rows at most
+    kind = feats.schema[id_col].dataType.simpleString()
+    return feats.select(id_col, "feats").mapInArrow(run, f"`{id_col}` {kind}, raw double")
+
+
+def count_by_level(seen: DataFrame, levels: np.ndarray) -> np.ndarray:
+    """(2, levels + 1): rows (label, raw) of each label with so many levels at or below raw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code = np.searchsorted(levels, batch.column(1).to_numpy(), "right") * 2 + batch.column(0).to_numpy()
+                found, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["code", "n"])
+
+    rows = seen.select(F.col("label").cast("long"), "raw").mapInArrow(run, "code long, n long")
     count = np.zeros((2, len(levels) + 1))
-    for r in seen:
-        count[r["_y"], r["_b"]] += r["_n"]
-    # Threshold at levels[k]: rows of buckets up to k fall below it.
+    for r in rows.groupBy("code").agg(F.sum("n").alias("n")).collect():  # 2 * LEVELS rows at most
+        count[r["code"] % 2, r["code"] // 2] = r["n"]
+    return count
+
+
+def best_cut(levels: np.ndarray, count: np.ndarray) -> float:
+    """The level, or the place between it and the one below, with the fewest errors."""
+    # Threshold at levels[k]: rows with k levels or fewer at or below them fall below it.
     errors = np.cumsum(count[1])[:-1] + count[0].sum() - np.cumsum(count[0])[:-1]
     best = np.flatnonzero(errors == errors.min())
     best = best[len(best) // 2]
     below = levels[best - 1] if best else levels[0]
-    cut_at = float((levels[best] + below) / 2)
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), raw - cut_at))))
-    return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("feats")
+    return float((levels[best] + below) / 2)
+
+
+def score_quality(feats: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(id, score, predicted) for every row of ``feats``, a stored table; ``learn``: which ids may be learned from."""
+    known = agreed_labels(labels.where(F.coalesce(learn, F.lit(False))), id_col, label_col)
+    with_hash = known.select("label", F.xxhash64(F.lit("pick"), id_col).alias("h"), id_col)
+    got = hash_sample(with_hash, sample, count_labels(known), lambda near: feats.join(F.broadcast(near), id_col).select("label", "h", "feats"))  # near: a few times ``sample`` ids
+    good, bad = (np.array([r["feats"] for r in got.get(y, [])], np.float64) for y in (1, 0))
+    if not len(good) or not len(bad):
+        return feats.select(id_col, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+    scores = cut(raw_scores(feats, fit_pairs(good, bad), id_col=id_col), "scores")
+    levels = scores.select(F.percentile_approx("raw", [k / LEVELS for k in range(1, LEVELS)], 20_000).alias("q")).first()["q"]
+    levels = np.unique(np.array(levels, np.float64))
+    cut_at = best_cut(levels, count_by_level(known.join(scores, id_col), levels))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("raw") - cut_at))))
+    return scores.select(id_col, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,17 @@ def strip_blanks(c: Column) -> Column:
 def fold(c: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``: the split of labelled rows."""
     return F.crc32(c.cast("string").cast("binary")) % folds
+
+
+def text_groups(column: pa.Array, rows: int = 400, chars: int = 1 << 21) -> Iterator[list[str]]:
+    """The texts of a batch in turn, nulls as empty: at most ``rows`` at a time, and no more once they
+    have ``chars`` characters, so that long texts do not pile up."""
+    out, size = [], 0
+    for text in column:
+        out.append(text.as_py() or "")
+        size += len(out[-1])
+        if len(out) >= rows or size >= chars:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out

@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.text import fold
+from keyloom.llm.sampling import count_labels, hash_sample
+from keyloom.llm.text import fold, text_groups
 from keyloom.sources import read_table
 
 SAMPLE_PER_LANG = 300
@@ -30,6 +32,7 @@ SEGMENT = 64
 HIDDEN = 8
 PAD = 0xFF  # never a byte of UTF-8
 UND = "und"
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -185,37 +188,36 @@ class Reader:
 
 
 def sample_labelled(docs: DataFrame, learn: Column, *, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled texts: each partition sends ``per_lang`` rows of a language at most."""
+    """A bounded sample of labelled texts, ``per_lang`` of each language, in hash order of the id."""
     place = 1 + F.pmod(F.xxhash64(F.lit("place"), id_col), F.greatest(F.lit(1), F.length(text_col) - chars + 1)).cast("int")
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).substr(place, F.lit(chars)).alias("text"), F.xxhash64(F.lit("pick"), id_col).alias("h"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    got = sorted(rows.withColumn("n", first).where(F.col("n") <= per_lang).select("lang", "n", "text").collect())
-    return [r["text"] for r in got], [r["lang"] for r in got]
+    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = known.select(F.col(lang_col).cast("string").alias("label"), F.xxhash64(F.lit("pick"), id_col).alias("h"), F.col(text_col).substr(place, F.lit(chars)).alias("text"))
+    got = hash_sample(rows, per_lang, count_labels(rows.select("label")), lambda near: near.where(F.col("text").rlike(r"\p{L}")))
+    return [r["text"] for lang in sorted(got) for r in got[lang]], [lang for lang in sorted(got) for _ in got[lang]]
 
 
 def identify(docs: DataFrame, model: LangModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added, and every other column as it was."""
+    """``docs`` with lang_pred and score added, in place of columns of these names; every other
+    column stays as it was."""
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
-    seen = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model) if model.langs else None
         for batch in batches:
-            n = batch.num_rows
-            letter = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
-            pred, score = np.full(n, UND, object), np.zeros(n)
-            rows = np.flatnonzero(letter) if reader else []
-            for lo in range(0, len(rows), 500):
-                own = rows[lo : lo + 500]
-                p = reader.probabilities(batch.column(at).take(pa.array(own)).to_pylist())
-                pred[own], score[own] = np.array(model.langs, object)[p.argmax(1)], np.clip(p.max(1), 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            pred, score = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows)
+            lo = 0
+            for texts in text_groups(batch.column(at)) if reader else ():
+                own = np.array([i for i, t in enumerate(texts) if _LETTER.search(t)], np.int64)
+                if len(own):
+                    p = reader.probabilities([texts[i] for i in own])
+                    pred[lo + own], score[lo + own] = np.array(model.langs, object)[p.argmax(1)], np.clip(p.max(1), 0, 1)
+                lo += len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return seen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def learn_languages(docs: DataFrame) -> LangModel:

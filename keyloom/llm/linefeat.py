@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ for _c in b"\"'()-/=@[\\]^_`{}~+":
     _IN[_c, 7] = 1
 _IN[:, 8] = 1
 _IN[0x80:0xC0, 8] = 0  # every byte but those that continue a character
-#: Bytes looked at in one go; a longer text is one go of its own.
+#: Bytes looked at in one go; a longer text is read in strides.
 STRIDE = 1 << 19
 
 
@@ -46,8 +47,37 @@ class Lines:
         return self.counts[:, _KINDS.index(kind)]
 
 
+def _count(b: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character counts, words and last visible byte of the lines of ``b``, which ends with \n,
+    ``STRIDE`` bytes at a time: a line may span many strides."""
+    own, words, last = np.zeros((n_lines, len(_KINDS)), np.int64), np.zeros(n_lines, np.int64), np.zeros(n_lines, np.int64)
+    line, after_blank = 0, True
+    for lo in range(0, len(b), STRIDE):
+        part = b[lo : lo + STRIDE]
+        ends = np.flatnonzero(part == 10)
+        if len(ends) == 0 or ends[-1] != len(part) - 1:
+            ends = np.append(ends, len(part))  # the line goes on in the next stride
+            closed = len(ends) - 1
+        else:
+            closed = len(ends)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        at = slice(line, line + len(ends))
+        for k in range(len(_KINDS)):
+            total = np.concatenate([[0], np.cumsum(_IN[part, k])])
+            own[at, k] += total[ends] - total[starts]
+        blank = _IN[part, 0].astype(bool)
+        begin = ~blank & np.concatenate([[after_blank], blank[:-1]])
+        total = np.concatenate([[0], np.cumsum(begin)])
+        words[at] += total[ends] - total[starts]
+        seen_at = np.concatenate([[0], np.maximum.accumulate(np.where(blank, 0, np.arange(1, len(part) + 1)))])
+        place = seen_at[ends]  # one past the last byte that is not blank
+        last[at] = np.where(place > starts, part[np.maximum(place - 1, 0)], last[at])
+        line, after_blank = line + closed, bool(blank[-1])
+    return own, words, last
+
+
 def read_lines(texts: list[str]) -> Lines:
-    """Lines of every text, split at \\n; an empty text is one empty line."""
+    """Lines of every text, split at \n; an empty text is one empty line."""
     raws = [t.encode("utf-8", "replace") for t in texts]
     counts, docs, words, repeated, last = [], [], [], [], []
     lo = 0
@@ -56,52 +86,47 @@ def read_lines(texts: list[str]) -> Lines:
         while hi < len(raws) and (hi == lo or size + len(raws[hi]) < STRIDE):
             size += len(raws[hi]) + 1
             hi += 1
-        joined = b"\n".join(raws[lo:hi])
-        b = np.frombuffer(joined + b"\n", np.uint8)
-        ends = np.flatnonzero(b == 10)
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        own = np.empty((len(ends), len(_KINDS)), np.int64)
-        for k in range(len(_KINDS)):
-            total = np.concatenate([[0], np.cumsum(_IN[b, k])])
-            own[:, k] = total[ends] - total[starts]
-        blank = _IN[b, 0].astype(bool)
-        begin = ~blank & np.concatenate([[True], blank[:-1]])
-        total = np.concatenate([[0], np.cumsum(begin)])
-        n_words = total[ends] - total[starts]
-        seen_at = np.maximum.accumulate(np.where(blank, 0, np.arange(1, len(b) + 1)))
-        place = seen_at[ends]  # one past the last byte that is not blank
-        tail = np.where(place > starts, b[np.maximum(place - 1, 0)], 0)
+        n_lines = [raw.count(b"\n") + 1 for raw in raws[lo:hi]]
+        own, n_words, tail = _count(np.frombuffer(b"\n".join(raws[lo:hi]) + b"\n", np.uint8), sum(n_lines))
         counts.append(own)
         words.append(n_words)
         last.append(tail)
+        docs.append(np.repeat(np.arange(lo, hi), n_lines))
         at = 0
-        for i in range(lo, hi):
-            lines = raws[i].split(b"\n")
-            docs.append(np.full(len(lines), i))
-            rep = np.zeros(len(lines), bool)
-            if len(lines) > 1:
+        for i, n in zip(range(lo, hi), n_lines, strict=True):
+            rep = np.zeros(n, bool)
+            if n > 1:
                 met: set[bytes] = set()
-                for k, line in enumerate(lines):
+                for k, line in enumerate(raws[i].split(b"\n")):
                     if n_words[at + k]:
                         if line in met:
                             rep[k] = True
                         else:
                             met.add(line)
             repeated.append(rep)
-            at += len(lines)
+            at += n
         lo = hi
     cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return Lines(np.concatenate(counts) if counts else np.zeros((0, len(_KINDS)), np.int64), cat(docs, np.int64), cat(words, np.int64), cat(repeated, bool), cat(last, np.int64))
 
 
+def _words(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some ``STRIDE`` bytes of it at a time. bytes split at ASCII blanks only."""
+    lo = 0
+    while len(raw) - lo > 2 * STRIDE:
+        hi = lo + STRIDE
+        while hi < len(raw) and not _IN[raw[hi], 0]:
+            hi += 1
+        yield raw[lo:hi].split()
+        lo = hi
+    yield raw[lo:].split()
+
+
 def repeated_words(text: str) -> tuple[int, int]:
     """(words of ``text`` inside a 3-word window found twice or more, distinct words)."""
-    words = text.encode("utf-8", "replace").split()  # bytes split at ASCII blanks only
-    if len(words) < 4:
-        return 0, len(set(words))
     number: dict[bytes, int] = {}
-    a = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    if len(number) == len(words):
+    a = np.concatenate([np.fromiter((number.setdefault(w, len(number)) for w in some), np.int64, len(some)) for some in _words(text.encode("utf-8", "replace"))])
+    if len(a) < 4 or len(number) == len(a):
         return 0, len(number)
     m = len(number)
     pairs = a[:-1] * m + a[1:]
@@ -113,7 +138,7 @@ def repeated_words(text: str) -> tuple[int, int]:
     if not len(twice):
         return 0, m
     hit = np.isin(codes, twice)
-    inside = np.zeros(len(words), bool)
+    inside = np.zeros(len(a), bool)
     for k in range(3):
         inside[k : k + len(hit)] |= hit
     return int(inside.sum()), m

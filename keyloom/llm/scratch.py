@@ -6,6 +6,7 @@ costly step (tokenizing, hashing) runs once however many later steps read it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,19 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder where it is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset a session within one process gets a
+    local folder; on a cluster, where executors would not see it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _store(spark: SparkSession, path: str) -> tuple:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends."""
+    store, jpath = _store(spark, path)
+    store.deleteOnExit(jpath)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """The folder goes now."""
+    store, jpath = _store(spark, path)
+    store.delete(jpath, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/keyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,9 @@
 
 Every text is split at \\n and each line's key is hashed to 128 bits. One aggregation over the
 hashes, pre-aggregated before its shuffle, counts the documents of each key; the keys over the
-threshold are joined back to (document, position, hash) rows, never to texts, and each document
-is put together again by position. All expressions are JVM-side.
+threshold, written to the shared folder, are joined back to (document, position, hash) rows, never
+to texts, and each document is put together again by position. Keys that hold a large part of all
+lines are dealt to many tasks in that join. All expressions are JVM-side.
 
 A document is a (doc_id, text) pair: equal rows get equal results, and one row comes out for
 every row in. A null text is one empty line. A null doc_id counts as one document of its own,
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.llm.scratch import cut
+from keyloom.llm.skew import hot_keys, salted_join
 from keyloom.llm.text import ascii_lower, strip_blanks
 from keyloom.sources import read_table
 
@@ -28,16 +31,16 @@ def _lines(text: Column) -> Column:
 
 
 def _shared(rows: DataFrame, min_docs: int) -> DataFrame:
-    """The hashes that at least ``min_docs`` documents hold, with the smallest such doc_id."""
+    """The hashes that at least ``min_docs`` documents hold, with the smallest such doc_id and the number of lines."""
     ids = [F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.max(F.col("_id").isNull()).alias("_null")]
     if min_docs == 2:  # two documents at least: the ends differ, no distinct count is needed
-        held = rows.groupBy("_h1", "_h2").agg(*ids)
+        held = rows.groupBy("_h1", "_h2").agg(*ids, F.count(F.lit(1)).alias("n"))
         many = (F.col("_first") != F.col("_last")) | (F.col("_null") & F.col("_first").isNotNull())
     else:
-        docs = rows.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
-        held = docs.groupBy("_h1", "_h2").agg(*ids, F.count(F.lit(1)).alias("_docs"))
+        docs = rows.groupBy("_h1", "_h2", "_id").agg(F.count(F.lit(1)).alias("_lines"))
+        held = docs.groupBy("_h1", "_h2").agg(*ids, F.count(F.lit(1)).alias("_docs"), F.sum("_lines").alias("n"))
         many = F.col("_docs") >= min_docs
-    return held.where(F.coalesce(many, F.lit(False))).select("_h1", "_h2", "_first")
+    return held.where(F.coalesce(many, F.lit(False))).select("_h1", "_h2", "_first", "n")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -45,13 +48,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Keys of ``min_chars`` code points or more that ``min_docs`` documents or more hold lose all
     their lines except those in the smallest doc_id. Names that start with ``_ld_`` are taken.
+    A very long text is one row all along; its lines are rows of their own only as hashes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
     keyed = own.select("_id", F.xxhash64("_text").alias("_t1"), F.xxhash64(F.lit(7), "_text").alias("_t2"), F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line"))
     keyed = keyed.select("_id", "_t1", "_t2", "_pos", ascii_lower(strip_blanks(F.col("_line"))).alias("_key")).where(F.length("_key") >= min_chars)
     hashed = keyed.select("_id", "_t1", "_t2", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
-    gone = hashed.join(_shared(hashed.select("_id", "_h1", "_h2"), min_docs), ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_first")))
+    shared, keys = cut(_shared(hashed.select("_id", "_h1", "_h2"), min_docs), "lines"), ["_h1", "_h2"]
+    gone = salted_join(hashed, shared.drop("n"), keys, hot_keys(shared, keys), by=["_id", "_pos"]).where(~F.col("_id").eqNullSafe(F.col("_first")))
     # A set, as equal rows send their positions twice.
     gone = gone.groupBy(F.col("_id").alias("_ld_id"), F.col("_t1").alias("_ld_t1"), F.col("_t2").alias("_ld_t2")).agg(F.collect_set("_pos").alias("_ld_gone"))
 

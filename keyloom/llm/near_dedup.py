@@ -12,7 +12,12 @@ rising frequency, two sets of similarity t share one among the first (1 - t) n +
 first that they share leaves room for the overlap that t needs. Both conditions are exact, so no
 link is lost, and a common passage stands too far back to make a pair. Rounds of 16, 64 and so on go
 over these buckets until none spans two components. Every pair that shares a bucket is so either
-compared, ruled out exactly or already connected, which is all that components need.
+compared, ruled out exactly or already connected, which is all that components need. Rows of a
+bucket that holds a large part of all are dealt to many tasks in every join on buckets.
+
+The worst case is a bucket of m sets that are unlike and yet share a rare shingle with room for the
+overlap: its m (m - 1) / 2 pairs are all compared, in rounds, as no bound rules them out. A pair is
+two signatures of 660 bytes in such a round, and no task has more than its share of them.
 
 A pair is verified in steps: signatures are compared in batches of 32 hashes, and the pair is
 dropped once the posterior probability (uniform prior) that its similarity reaches the threshold
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.components import connected_components
 from keyloom.llm.scratch import cut
+from keyloom.llm.skew import first_of_each, hot_keys, salted_join
 from keyloom.sources import read_table
 
 SHINGLE = 5
@@ -233,21 +239,23 @@ def _rare_entries(entries: DataFrame, full: DataFrame, threshold: int) -> DataFr
 
     own = full.join(ids, "id").select("id", "w", "shingles").mapInArrow(run, f"id {kind}, w long, n long, key long")
     own = cut(own, "shingles")
-    often = own.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    hot = hot_keys(often, ["key"])
+    often = often.withColumnRenamed("n", "df")
     each = Window.partitionBy("id")
     place = F.col("n") - F.count(F.lit(1)).over(each) + F.row_number().over(each.orderBy("df", "key")) - 1  # those of one id only come first
-    front = own.join(often, "key").withColumn("pos", place.cast("long"))
+    front = salted_join(own, often, ["key"], hot, by=["id"]).withColumn("pos", place.cast("long"))
     front = cut(front.where((100 - threshold) * F.col("n") >= 100 * F.col("pos")), "front")
     # Of shingles that the same ids have, the first in order stands for all.
     seen = front.groupBy("key", "df").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")).where("m > 1")
     first = seen.groupBy("m", "x", "y").agg(F.min(F.struct("df", "key")).alias("best")).select(F.col("best.key").alias("key"))
-    front = front.join(first, "key", "left_semi")
+    front = salted_join(front, first, ["key"], hot, by=["id"], how="left_semi")
     # An id stays where the smallest set and the most room of a bucket leave it a partner.
     bounds = front.groupBy("key").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("most"))
     room = F.least(F.col("n") - F.col("pos"), F.col("most"))
     partner = F.greatest(threshold * F.col("n"), 100 * F.col("least"))  # a partner's size, in hundredths
     fits = room * 100 * (100 + threshold) >= threshold * (100 * F.col("n") + partner)
-    return front.join(bounds, "key").where(fits).select("key", "id", "w", "n", "pos")
+    return salted_join(front, bounds, ["key"], hot, by=["id"]).where(fits).select("key", "id", "w", "n", "pos")
 
 
 def _components(entries: DataFrame, links: DataFrame, full: DataFrame, threshold: int, miss: float, hashes: int) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +264,7 @@ def _components(entries: DataFrame, links: DataFrame, full: DataFrame, threshold
     comps = cut(comps.withColumn("comp", F.col("id")), "comps")
     entries = cut(entries.withColumn("comp", F.col("id")), "entries")
     tested, found, pivots_each, rare = None, links, FIRST_PIVOTS, False
-    order = F.row_number().over(Window.partitionBy("key").orderBy(F.col("w").desc(), F.xxhash64(F.lit("pivot"), "id")))
+    order = [F.col("w").desc(), F.xxhash64(F.lit("pivot"), "id")]
     while True:
         if not links.isEmpty():
             joined = links.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
@@ -264,16 +272,17 @@ def _components(entries: DataFrame, links: DataFrame, full: DataFrame, threshold
             moved = moved.withColumnRenamed("id", "comp")
             comps = cut(comps.join(moved, "comp", "left").select("id", F.coalesce("label", "comp").alias("comp")), "comps")
             entries = entries.join(moved, "comp", "left").select("key", "id", "w", "n", "pos", F.coalesce("label", "comp").alias("comp"))
-        live = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        entries = cut(entries.join(live, "key", "left_semi"), "entries")
+        live = cut(entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"), "live")
+        hot = hot_keys(live, ["key"])
+        entries = cut(salted_join(entries, live.select("key"), ["key"], hot, by=["id"], how="left_semi"), "entries")
         if entries.isEmpty():
             return comps, found
         if tested is not None and not rare:
             entries, links, rare = _rare_entries(entries, full, threshold).join(comps, "id"), links.limit(0), True
             continue
-        pivots = cut(entries.withColumn("nth", order).where(F.col("nth") <= pivots_each).select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos")), "pivots")
+        pivots = cut(first_of_each(entries, ["key"], hot, order, pivots_each, by=["id"]).select("key", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos")), "pivots")
         room = F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos"))  # the most that they can share
-        pairs = entries.join(pivots, "key").where("comp <> pivot_comp").where(room * (100 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pairs = salted_join(entries, pivots, ["key"], hot, by=["id"]).where("comp <> pivot_comp").where(room * (100 + threshold) >= threshold * (F.col("n") + F.col("pivot_n"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
@@ -300,8 +309,9 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, threshold: int = TH
     # Of buckets with the same members, as a few copies share in many bands, one is enough.
     members = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
     shared = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *members).where("lo < hi")
-    shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.col("n").alias("size"))
-    entries = cut(spread.join(shared, "key").distinct(), "entries")
+    shared = cut(shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    hot = hot_keys(shared, ["key"])
+    entries = cut(salted_join(spread, shared.select("key", F.col("n").alias("size")), ["key"], hot, by=["id"]).distinct(), "entries")
     # The text that copies were made from shares the fullest buckets: it is to be met first.
     weight = entries.groupBy("id").agg(F.sum("size").alias("w"))
     entries = cut(entries.join(weight, "id").select("key", "id", "w", "n", F.lit(0).cast("long").alias("pos")), "entries")

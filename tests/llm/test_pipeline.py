@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -64,6 +65,17 @@ def brute(rows, items, model):
     return sorted(out)
 
 
+def test_near_dedup_keeps_the_least_row_of_an_id(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, "aa", 40) for _ in range(3))
+    rows = [(1, b, "x", "s", 1), (1, a, "x", "s", 1), (1, a, "w", "s", 1), (2, c, "x", "s", 1), (3, a, "x", "s", 1), (None, a, "x", "s", 1), (None, a, "x", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = corpus_pipeline.near_dedup(spark, docs.repartition(parts), "")
+        least = min((t, lang) for i, t, lang, *_ in rows if i == 1)
+        assert sorted(map(str, map(tuple, got.select("doc_id", "text", "lang").collect()))) == sorted(map(str, [(1, *least), (2, c, "x"), (None, a, "x"), (None, a, "x")]))
+
+
 def test_run_equals_brute_force(spark, tmp_path):
     rng = random.Random(21)
     items = [(i, prose(rng, "aa", 15)) for i in range(4)]
@@ -89,6 +101,8 @@ def test_run_equals_brute_force(spark, tmp_path):
     want = brute([(i, t) for i, t, _ in rows], items, model)
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     assert 10 < len({w[0] for w in want}) < 90
+    left = [f for f in os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/keyloom") if f.startswith("pipeline-")]
+    assert left == []
     stage = docs
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))

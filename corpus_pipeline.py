@@ -7,6 +7,9 @@
 5. best-fit packing of the rest into sequences of 2048 tokens.
 
 Each stage reads its predecessor's table whole; all but the last return the columns of documents.
+A repeated doc_id: language ID and decontamination judge each of its rows by itself, line dedup takes
+its rows for one document, near-dedup keeps one row of it, the least by text, lang, source and
+n_chars, so packing sees an id once. A null text goes with the first stage; rows without an id stay.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from keyloom.llm.lang_id import UND, identify, learn_languages
 from keyloom.llm.line_dedup import dedup_lines
 from keyloom.llm.near_dedup import near_duplicates
 from keyloom.llm.packing import pack_documents
-from keyloom.llm.scratch import cut, shared_dir
+from keyloom.llm.scratch import cut, forget, forget_at_end, shared_dir
 from keyloom.sources import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,12 +44,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A repeated row is a copy too: one row of a doc_id stays. Rows without an id are left alone."""
+    """A repeated row is a copy too: the least row of a doc_id stays. Rows without an id are left alone."""
     facts = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     facts = cut(facts.where("NOT kept OR n > 1"), "facts")
     once = docs.join(facts.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    again = docs.join(facts.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again.select(*COLUMNS))
+    again = docs.join(facts.where("kept").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return once.union(again.select("doc_id", "row.*").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages on ``documents``, each written to the shared folder and read again by the next, then removed."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     top = f"{shared_dir(spark).rstrip('/')}/keyloom/pipeline-{uuid.uuid4().hex}"
+    forget_at_end(spark, top)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            forget(spark, before)
+        before = f"{top}/{name}"
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # has written its pieces, which is all that it still reads
+    forget(spark, top)
+    return packed

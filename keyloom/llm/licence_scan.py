@@ -3,7 +3,7 @@
 A paragraph is a run of lines between blank ones. Its lower-cased words and word pairs are the
 features of a multinomial logistic regression over the licence families and an unknown class. It is
 trained in numpy on spans and runs of the templates, mixed with corpus words, and on a bounded
-sample of corpus lines (``SAMPLE`` texts by hash order, ``SAMPLE_CHARS`` characters of each, the
+sample of corpus lines (``SAMPLE`` texts by hash order of their ids, ``SAMPLE_CHARS`` characters of each, the
 first ``SAMPLE_LINES`` of their lines that no template resembles); a temperature is fitted on a part
 held back, so that probabilities are calibrated and "unknown" is chosen where it is likelier.
 
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.licence_templates import TEMPLATES
+from keyloom.llm.sampling import hash_sample
 from keyloom.sources import read_table
 
 SAMPLE = 400
@@ -224,10 +225,11 @@ def scan_text(text: str, model: LicenceModel) -> list[tuple[int, int, str, float
     return out + scan_paragraph(lines, model) if lines else out
 
 
-def learn_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
-    place = 1 + F.pmod(F.xxhash64(F.lit("place"), id_col), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS + 1)).cast("int")
-    rows = docs.where(F.length(text_col) > 0).select(F.xxhash64(F.lit("pick"), id_col).alias("h"), F.col(text_col).substr(place, F.lit(SAMPLE_CHARS)).alias("text"))
-    return train([line for r in rows.orderBy("h", "text").limit(SAMPLE).collect() for line in r["text"].split("\n")])
+def learn_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> LicenceModel:
+    place = 1 + F.pmod(F.xxhash64(F.lit("place"), id_col), F.greatest(F.lit(1), F.length(text_col) - chars + 1)).cast("int")
+    rows = docs.select(F.lit("any").alias("label"), F.xxhash64(F.lit("pick"), id_col).alias("h"), F.col(text_col).substr(place, F.lit(chars)).alias("text"))
+    got = hash_sample(rows, sample, {"any": docs.count()}, lambda near: near.where(F.length("text") > 0))
+    return train([line for r in got.get("any", []) for line in r["text"].split("\n")])
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from keyloom.queries import keys, sequences, sorted_sets, spatial
+from keyloom.queries import commands, keys, sequences, sorted_sets, spatial
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (sorted_sets, keys, sequences, spatial):
+for _module in (sorted_sets, keys, sequences, spatial, commands):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

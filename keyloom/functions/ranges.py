@@ -34,6 +34,15 @@ def index_range(df: DataFrame, by: list[str], order: list[Column], backward: lis
     return df.withColumns({"_i": ahead - 1, "_n": size}).where((F.col("_i") >= lo) & (F.col("_i") <= hi)).drop("_i", "_n")
 
 
+def drawn(df: DataFrame, element: str, n: int, seed: int) -> DataFrame:
+    """``n`` seeded draws with repeats from the rows of every key, by their rank in order of ``element``."""
+    size = df.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
+    draws = size.select("key", "_size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
+    draws = draws.select("key", "draw", F.pmod(F.xxhash64(F.lit(seed), "key", "draw"), F.col("_size")).cast("long").alias("_rank"))
+    ranked = df.withColumn("_rank", (F.row_number().over(Window.partitionBy("key").orderBy(element)) - 1).cast("long"))
+    return draws.join(ranked, ["key", "_rank"]).drop("_rank", "draw")
+
+
 def _bound(x: float | str) -> tuple[float, bool]:
     text = str(x)
     is_open = text.startswith("(")
@@ -55,7 +64,9 @@ def score_within(score: Column, low: float | str, high: float | str) -> Column:
 
 
 def lex_within(member: Column, low: str, high: str) -> Column:
-    """Byte order of members; "-" and "+" are without bound."""
+    """Byte order of members; "-" and "+" are without bound, and every other bound begins with [ or (."""
+    if not all(b in ("-", "+") or b[:1] in ("[", "(") for b in (low, high)):
+        raise ValueError("min or max not valid string range item")
     out = F.lit(True)
     if low == "+" or high == "-":
         return F.lit(False)

@@ -1,5 +1,5 @@
-"""Blocking pops, as a batch. FIFO: the n-th waiter of a key gets its n-th item. Pops that choose
-among the items of their moment are folded key by key, in a stream sorted by time."""
+"""Blocking pops, as a batch: requests and items of a key meet in order of time, folded in a sorted
+stream, so that a key with very many of them is a stream and not a group in memory."""
 
 from __future__ import annotations
 
@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 
 def blpop(requests: DataFrame, arrivals: DataFrame, timeout: int) -> DataFrame:
-    """requests (key, req, at) and arrivals (key, item, at), FIFO: value and wait of each request.
+    """requests (key, req, at) and arrivals (key, item, at), FIFO: item and wait of each request.
 
-    A request is answered when both are there; with an item that comes later than ``timeout``
-    after it (0: never too late) it is answered with nothing.
+    Of what happens at one time items come first, each kind in order of its ids. A request takes the
+    first item there is. Where there is none it waits, and an item goes to the first who still waits:
+    one for whom it comes later than ``timeout`` after the request (0: never too late) has been
+    answered with nothing by then and takes no item.
     """
-    nth = lambda c: F.row_number().over(Window.partitionBy("key").orderBy("at", c))
-    r = requests.withColumn("n", nth("req")).withColumnRenamed("at", "asked")
-    a = arrivals.withColumn("n", nth("item")).withColumnRenamed("at", "came")
-    wait = F.greatest(F.lit(0), F.col("came") - F.col("asked"))
-    in_time = F.col("item").isNotNull() & ((F.lit(timeout) == 0) | (wait <= timeout))
-    return r.join(a, ["key", "n"], "left").select("key", "req", F.when(in_time, F.col("item")).alias("item"), F.when(in_time, wait).alias("wait"))
+    kinds = {c: df.schema[c].dataType for df, c in ((requests, "key"), (requests, "req"), (arrivals, "item"))}
+    nth = lambda df, c: df.withColumn("seq", F.row_number().over(Window.partitionBy("key").orderBy("at", c)))
+    got = _pops(nth(requests, "req"), nth(arrivals, "item"), timeout, False, False, items_first=True)
+    return got.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], "wait")
 
 
 class _Waiting:
@@ -62,12 +62,12 @@ class _Waiting:
         yield from ((req, None, None, None) for req, _ in self.waiters)
 
 
-def _pops(requests: DataFrame, arrivals: DataFrame, timeout: int, last: bool, scored: bool) -> DataFrame:
+def _pops(requests: DataFrame, arrivals: DataFrame, timeout: int, last: bool, scored: bool, items_first: bool = False) -> DataFrame:
     text = lambda c: F.col(c).cast("string").alias(c)
     came = arrivals.select(text("key"), F.col("at").cast("long").alias("at"), F.lit(0).alias("kind"), text("item"), (F.col("score").cast("double") if scored else F.lit(0.0)).alias("score"), F.lit(0).alias("n"), F.col("seq").cast("long").alias("seq"))
     n = F.col("n").cast("int") if "n" in requests.columns else F.lit(1)
     asked = requests.select(text("key"), F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), text("req"), F.lit(0.0).alias("score"), n.alias("n"), F.col("seq").cast("long").alias("seq"))
-    rows = came.union(asked).repartition("key").sortWithinPartitions("key", "at", "seq", "kind")
+    rows = came.union(asked).repartition("key").sortWithinPartitions("key", "at", *(("kind", "seq") if items_first else ("seq", "kind")))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, _Waiting(timeout, last, scored)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.globs import matches
-from keyloom.operators.keyspace import live
+from keyloom.functions.ranges import drawn
+from keyloom.operators.keyspace import live, may_expire
 
 
 def hset(log: DataFrame) -> DataFrame:
@@ -53,6 +54,27 @@ def hincrby(log: DataFrame, h: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("key", "field").agg(F.sum("delta").alias("value"))
 
 
+def hincrbyfloat(log: DataFrame, h: DataFrame | None = None, now: int | None = None) -> DataFrame:
+    """(key, field, value, expire_at) of the fields of a log (key, field, delta) after all increments:
+    a field keeps its deadline, one that has expired begins anew, as an absent one does. A result that
+    is not finite is an error. Values are text."""
+    rows = log.select("key", "field", F.col("delta").cast("double").alias("delta"), F.lit(None).cast("long").alias("expire_at"), F.lit(1).alias("_asked"))
+    if h is not None:
+        held = h if "expire_at" in h.columns else h.withColumn("expire_at", F.lit(None).cast("long"))
+        held = held if now is None else live(held, now)
+        rows = rows.union(held.select("key", "field", F.col("value").cast("double"), "expire_at", F.lit(0)))
+    out = rows.groupBy("key", "field").agg(F.sum("delta").alias("x"), F.max("expire_at").alias("expire_at"), F.max("_asked").alias("_asked")).where("_asked = 1")
+    bad = F.isnan("x") | (F.abs("x") == float("inf"))
+    value = F.when(bad, F.raise_error(F.lit("value is NaN or Infinity")).cast("string")).otherwise(float_text(F.col("x")))
+    return out.select("key", "field", value.alias("value"), "expire_at")
+
+
+def hstrlen(h: DataFrame, request: DataFrame) -> DataFrame:
+    """(key, field, n) of each request: bytes of the value, 0 where there is none."""
+    at = request.select("key", "field").join(h.select("key", "field", "value"), ["key", "field"], "left")
+    return at.select("key", "field", F.coalesce(F.octet_length("value"), F.lit(0)).alias("n"))
+
+
 def float_text(x: Column) -> Column:
     """Integral results are written as integers, -0 as 0."""
     x = x + F.lit(0.0)
@@ -60,11 +82,12 @@ def float_text(x: Column) -> Column:
 
 
 def hexpire(h: DataFrame, new_at: Column, now: int, condition: str = "") -> DataFrame:
-    """(key, field, code, expire_at): 2 deleted at once, 1 set, 0 the condition failed."""
+    """(key, field, code, expire_at) of every field, ms: -2 it has expired already, 2 deleted at once,
+    1 set, 0 the condition failed; a field that is gone has no deadline. HEXPIRE, HEXPIREAT and their
+    forms in ms differ in how ``new_at`` is reckoned."""
     old = F.col("expire_at")
-    ok = {"": F.lit(True), "NX": old.isNull(), "XX": old.isNotNull(), "GT": old.isNotNull() & (new_at > old), "LT": old.isNull() | (new_at < old)}[condition]
-    code = F.when(~F.coalesce(ok, F.lit(False)), 0).when(new_at <= now, 2).otherwise(1)
-    return h.select("key", "field", code.alias("code"), F.when(code == 1, new_at).otherwise(old).alias("expire_at"))
+    code = F.when(old <= now, -2).when(~may_expire(old, new_at, condition), 0).when(new_at <= now, 2).otherwise(1)
+    return h.select("key", "field", code.alias("code"), F.when(code == 1, new_at).when(code == 0, old).alias("expire_at"))
 
 
 def httl(h: DataFrame, request: DataFrame, now: int) -> DataFrame:
@@ -95,5 +118,8 @@ def hscan(h: DataFrame, cursor: int, *, pattern: str = "*", count: int = 10) ->
 
 
 def hrandfield(h: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n distinct fields of every key, in a seeded hash order; -n is n draws with repeats."""
+    if n < 0:
+        return drawn(h, "field", -n, seed)
     pick = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "field"), "field"))
     return h.withColumn("_n", pick).where(F.col("_n") <= n).drop("_n")

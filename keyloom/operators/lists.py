@@ -53,9 +53,13 @@ def lpop(items: DataFrame, n: int, *, right: bool = False) -> tuple[DataFrame, D
 
 
 def lset(items: DataFrame, index: int, value: str) -> DataFrame:
-    """Keys that are too short are left as they are."""
+    """In every list; one that is too short is an error."""
     place = F.row_number().over(_from_end()) - 1 if index >= 0 else -F.row_number().over(_from_end(True))
-    return items.withColumn("_i", place).select("key", "pos", F.when(F.col("_i") == index, F.lit(value)).otherwise(F.col("value")).alias("value"))
+    needed = index + 1 if index >= 0 else -index
+    rows = items.withColumns({"_i": place, "_n": F.count(F.lit(1)).over(Window.partitionBy("key"))})
+    short = F.raise_error(F.lit("index out of range")).cast("string")
+    new = F.when(F.col("_n") < needed, short).when(F.col("_i") == index, F.lit(value)).otherwise(F.col("value"))
+    return rows.select("key", "pos", new.alias("value"))
 
 
 def linsert(items: DataFrame, pivot: str, value: str, *, before: bool = True) -> DataFrame:
@@ -78,6 +82,8 @@ def lrem(items: DataFrame, count: int, value: str) -> DataFrame:
 def lpos(items: DataFrame, value: str, *, rank: int = 1, count: int = 1, maxlen: int = 0) -> DataFrame:
     """(key, index) of matches from the rank-th on, from the tail where rank is negative; count 0 is
     all, maxlen bounds how many items are looked at. Indexes are from the head."""
+    if rank == 0:
+        raise ValueError("RANK can't be zero")
     rows = items.withColumns({"_i": F.row_number().over(_from_end()) - 1, "_j": F.row_number().over(_from_end(rank < 0))})
     rows = rows.where(F.col("value") == value)
     if maxlen:

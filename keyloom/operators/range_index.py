@@ -6,9 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def build(df: DataFrame, path: str, partitions: int) -> None:
-    """Written in ranges of k and sorted within files, so that scans skip files and row groups."""
-    df.repartitionByRange(partitions, "k").sortWithinPartitions("k").write.mode("overwrite").parquet(path)
+def build(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Written in ranges of k and sorted within files, so that scans skip files and row groups: the
+    stored index. Without ``partitions`` their number follows from the data."""
+    dealt = df.repartitionByRange(partitions, "k") if partitions else df.repartitionByRange("k")
+    dealt.sortWithinPartitions("k").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def riexists(indexes: DataFrame, request: DataFrame) -> DataFrame:
+    """(idx, found) of each request (idx) among the rows (idx, ...) of all indexes."""
+    held = indexes.select("idx").distinct().withColumn("_in", F.lit(1))
+    return request.join(held, "idx", "left").select("idx", F.coalesce("_in", F.lit(0)).alias("found"))
+
+
+def rimetrics(index: DataFrame) -> DataFrame:
+    """One row: entries, bytes of keys and values, the first and the last key."""
+    size = lambda c: F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)).alias(f"{c}_bytes")
+    return index.agg(F.count(F.lit(1)).alias("n"), size("k"), size("v"), F.min("k").alias("first"), F.max("k").alias("last"))
 
 
 def riset(index: DataFrame, new: DataFrame) -> DataFrame:

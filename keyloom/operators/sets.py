@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.globs import matches
+from keyloom.functions.ranges import drawn
 
 
 def one(s: DataFrame, key) -> DataFrame:
@@ -62,7 +63,9 @@ def smove(s: DataFrame, source, dest, member) -> DataFrame:
 
 
 def srandmember(s: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n distinct members of every key, in a seeded hash order."""
+    """n distinct members of every key, in a seeded hash order; -n is n draws with repeats."""
+    if n < 0:
+        return drawn(s, "member", -n, seed)
     pick = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "member"), "member"))
     return s.withColumn("_n", pick).where(F.col("_n") <= n).drop("_n")
 

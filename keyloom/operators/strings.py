@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.keyspace import live
+
 
 def set_last(log: DataFrame) -> DataFrame:
     """SET: the last write of each key."""
@@ -22,6 +24,36 @@ def setxx(log: DataFrame, kv: DataFrame) -> DataFrame:
     return set_last(log.join(kv.select("key"), "key", "left_semi"))
 
 
+def set_with(kv: DataFrame, log: DataFrame, now: int, *, mode: str = "", keepttl: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SET with options: a log (key, seq, value, expire_at; ms or null) over ``kv`` (key, value,
+    expire_at). mode "NX" writes only where no live key is, "XX" only where one is; ``keepttl`` leaves
+    a live key's deadline. The replies of SET GET (key, old: the value before the first write, or
+    null) and the snapshot after; a deadline that is not in the future deletes.
+    """
+    if mode not in ("", "NX", "XX"):
+        raise ValueError("syntax error")
+    alive = live(kv, now).select("key", F.col("value").alias("_old"), F.col("expire_at").alias("_due"), F.lit(True).alias("_had"))
+    pick = F.min_by if mode == "NX" else F.max_by
+    new = log.groupBy("key").agg(pick(F.struct("value", "expire_at"), "seq").alias("w"))
+    both = new.join(alive, "key", "full")
+    had, asked = F.col("_had").isNotNull(), F.col("w").isNotNull()
+    go = asked & {"": F.lit(True), "NX": ~had, "XX": had}[mode]
+    due = F.when(had, F.col("_due")) if keepttl else F.col("w.expire_at")
+    after = both.where(go | had).select("key", F.when(go, F.col("w.value")).otherwise(F.col("_old")).alias("value"), F.when(go, due).otherwise(F.col("_due")).alias("expire_at"))
+    return both.where(asked).select("key", F.col("_old").alias("old")), live(after, now)
+
+
+def deadlines(log: DataFrame, now: int, unit: str) -> DataFrame:
+    """``ttl`` of each write as ``expire_at`` in ms: EX, PX from now (SETEX, PSETEX; not above 0 is an
+    error), EXAT, PXAT as they stand (below 0 is 0)."""
+    ms = F.col("ttl").cast("long") * (1000 if unit in ("EX", "EXAT") else 1)
+    if unit in ("EXAT", "PXAT"):
+        at = F.when(ms < 0, 0).otherwise(ms)
+    else:
+        at = F.when(F.col("ttl") <= 0, F.raise_error(F.lit("invalid expire time")).cast("long")).otherwise(ms + now)
+    return log.withColumn("expire_at", at).drop("ttl")
+
+
 def upsert(kv: DataFrame, new: DataFrame) -> DataFrame:
     return kv.join(new.select("key"), "key", "left_anti").select("key", "value").union(new.select("key", "value"))
 
@@ -54,6 +86,14 @@ def incr_running(log: DataFrame) -> DataFrame:
     return log.withColumn("after", F.sum("delta").over(w))
 
 
+def incrbyfloat_running(log: DataFrame) -> DataFrame:
+    """INCRBYFLOAT replies; a value that is not finite is an error."""
+    after = F.col("after")
+    bad = F.isnan(after) | (F.abs(after) == float("inf"))
+    refused = F.raise_error(F.lit("increment would produce NaN or Infinity")).cast("double")
+    return incr_running(log).withColumn("after", F.when(bad, refused).otherwise(after))
+
+
 def incr_net(log: DataFrame, kv: DataFrame | None = None) -> DataFrame:
     """The counters after all deltas, absent ones from 0; text that is no integer is an error."""
     rows = log.select("key", "delta")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,16 +54,53 @@ def vsim_elem(v: DataFrame, elem, k: int = 10) -> DataFrame:
     return vsim(v, list(row["vec"]), k, by_key=False) if row else v.select("key", "elem", F.lit(0.0).alias("score")).limit(0)
 
 
-def vlinks(v: DataFrame, queries: DataFrame, k: int, *, blocks: int = 16) -> DataFrame:
+#: Rows and queries that meet in one task: a few hundred MB of vectors at the most.
+BLOCK_ROWS, BLOCK_QUERIES, STRIDE = 100_000, 8_192, 1_024
+
+
+def _unit_rows(vecs: pa.Array) -> np.ndarray:
+    x = np.array(vecs.to_pylist(), np.float64).reshape(len(vecs), -1)
+    top = np.abs(x).max(1, keepdims=True, initial=0)
+    x = x / np.where(top > 0, top, 1)
+    length = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(length > 0, length, 1)
+
+
+def vlinks(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, elem, score, rank): the k nearest other elements of each query (elem, vec).
 
-    The query set is dealt to ``blocks`` blocks and meets every row once in each; only each row
-    block's k best of a query go on, as row-number limits are applied before the shuffle.
+    Queries and rows are dealt to blocks whose numbers follow from their counts, and every pair of
+    blocks is one task: a product of two matrices, ``STRIDE`` rows at a time, of which each query's
+    k best go on. A row travels once for every ``BLOCK_QUERIES`` queries, a query once for every
+    ``BLOCK_ROWS`` rows. Vectors have one length; ties go to the smaller element.
     """
-    q = queries.select(F.col("elem").alias("query"), unit_vector(F.col("vec")).alias("_q"), F.pmod(F.xxhash64("elem"), F.lit(blocks)).alias("_b"))
-    rows = v.select("elem", unit_vector(F.col("vec")).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    rows = rows.withColumn("_b", F.col("_b").cast("long"))
-    met = rows.join(q, "_b").where("elem <> query").select("query", "elem", dot(F.col("_v"), F.col("_q")).alias("score"))
+    n_rows, n_queries = -(-v.count() // BLOCK_ROWS), -(-queries.count() // BLOCK_QUERIES)
+    deal = lambda n: F.pmod(F.xxhash64("elem"), F.lit(max(1, n)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))).cast("array<long>"))
+    rows = v.select("elem", "vec", deal(n_rows).alias("_r"), every(n_queries).alias("_q"))
+    asked = queries.select("elem", "vec", every(n_rows).alias("_r"), deal(n_queries).alias("_q"))
+
+    def best(own: pa.Table, ask: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if own.num_rows and ask.num_rows:
+            elems, names = own["elem"].to_pylist(), ask["elem"].to_pylist()
+            order = sorted(range(len(elems)), key=elems.__getitem__)
+            held = _unit_rows(own["vec"].combine_chunks())[order]
+            elems = [elems[i] for i in order]
+            asks = _unit_rows(ask["vec"].combine_chunks())
+            for lo in range(0, len(names), STRIDE):
+                score = asks[lo : lo + STRIDE] @ held.T
+                for i, s in enumerate(score):
+                    # One more than k, as the query itself may be among them; ties in order of elements.
+                    edge = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -np.inf
+                    near = np.flatnonzero(s >= edge)
+                    near = near[np.argsort(-s[near], kind="stable")]
+                    out += [(names[lo + i], elems[j], float(s[j])) for j in near if elems[j] != names[lo + i]][:k]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(cols[0], ask.schema.field("elem").type), pa.array(cols[1], own.schema.field("elem").type), pa.array(cols[2], pa.float64())], ["query", "elem", "score"])
+
+    kinds = queries.schema["elem"].dataType.simpleString(), v.schema["elem"].dataType.simpleString()
+    met = rows.groupBy("_q", "_r").cogroup(asked.groupBy("_q", "_r")).applyInArrow(best, f"query {kinds[0]}, elem {kinds[1]}, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "elem")
     return met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -79,6 +118,26 @@ def vgetattr(v: DataFrame, attrs: DataFrame) -> DataFrame:
     return v.select("key", "elem").join(attrs.where("attr <> ''"), ["key", "elem"], "left")
 
 
+def vsetattr(attrs: DataFrame, log: DataFrame, v: DataFrame) -> DataFrame:
+    """The attributes after a log (key, elem, attr, seq): the last write of each element that ``v``
+    holds; an empty one clears."""
+    last = log.join(v.select("key", "elem"), ["key", "elem"], "left_semi").groupBy("key", "elem").agg(F.max_by("attr", "seq").alias("attr"))
+    kept = attrs.select("key", "elem", "attr").join(last.select("key", "elem"), ["key", "elem"], "left_anti")
+    return kept.union(last.where("attr <> ''"))
+
+
+def vismember(v: DataFrame, request: DataFrame) -> DataFrame:
+    """(key, elem, is_member) of each request."""
+    held = v.select("key", "elem", F.lit(1).alias("_in"))
+    return request.join(held, ["key", "elem"], "left").select("key", "elem", F.coalesce("_in", F.lit(0)).alias("is_member"))
+
+
+def vinfo(v: DataFrame) -> DataFrame:
+    """(key, quant_type, vector_dim, size) of each set."""
+    size = v.groupBy("key").agg(F.max(F.size("vec")).cast("long").alias("vector_dim"), F.count(F.lit(1)).alias("size"))
+    return size.select("key", F.lit("f32").alias("quant_type"), "vector_dim", "size")
+
+
 def vrandmember(v: DataFrame, n: int, seed: int = 0) -> DataFrame:
     pick = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "elem"), "elem"))
     return v.withColumn("_n", pick).where(F.col("_n") <= n).drop("_n")

@@ -20,9 +20,10 @@ def _window(rev: bool = False) -> Window:
     return Window.partitionBy("key").orderBy(*_order(rev))
 
 
-def zrange(z: DataFrame, start: int, stop: int, *, rev: bool = False) -> DataFrame:
+def zrange(z: DataFrame, start: int, stop: int, *, rev: bool = False, limit: tuple[int, int] | None = None) -> DataFrame:
     """A stop that stays below 0 after counting from the end selects nothing."""
-    return index_range(z, ["key"], _order(rev), _order(not rev), start, stop)
+    rows = index_range(z, ["key"], _order(rev), _order(not rev), start, stop)
+    return limited(rows, *limit, rev=rev) if limit else rows
 
 
 def zrank(z: DataFrame, *, rev: bool = False) -> DataFrame:
@@ -128,22 +129,29 @@ def zintercard(zs: list[DataFrame], limit: int = 0) -> DataFrame:
     return (rows.limit(limit) if limit else rows).agg(F.count(F.lit(1)).alias("n"))
 
 
-def zadd(z: DataFrame, log: DataFrame, *, mode: str = "", compare: str = "") -> DataFrame:
+def zadd(z: DataFrame, log: DataFrame, *, mode: str = "", compare: str = "", incr: bool = False) -> DataFrame:
     """The snapshot after a log (key, member, score, seq) of ZADD with one option for all.
 
-    mode: "" sets, "NX" only adds, "XX" only updates, "INCR" adds to the score. compare: "GT" or
-    "LT" lets only greater or lesser scores replace one. Each reduces to one aggregate for each
-    member, so any number of writes combines before the shuffle.
+    mode: "" sets, "NX" only adds, "XX" only updates; "INCR", or ``incr``, adds to the score.
+    compare: "GT" or "LT" lets only greater or lesser scores replace one, for increments that is
+    those above or below 0. NX goes with neither. Each reduces to one aggregate for each member, so
+    any number of writes combines before the shuffle. A sum that is not a number is an error.
     """
+    if mode == "INCR":
+        mode, incr = "", True
+    if mode not in ("", "NX", "XX") or compare not in ("", "GT", "LT"):
+        raise ValueError("syntax error")
+    if mode == "NX" and compare:
+        raise ValueError("GT, LT, and/or NX options at the same time are not compatible")
     old = z.select("key", "member", F.struct(F.lit(True).alias("old"), F.lit(None).cast("long").alias("seq"), F.col("score").cast("double").alias("score")).alias("w"))
     new = log.select("key", "member", F.struct(F.lit(False).alias("old"), F.col("seq").cast("long").alias("seq"), F.col("score").cast("double").alias("score")).alias("w"))
     every = old.union(new).where(~F.isnan("w.score"))
-    had = F.max("w.old")
+    had, of_log = F.max("w.old"), ~F.col("w.old")
     before = F.max(F.when(F.col("w.old"), F.col("w.score")))
-    first = F.min_by("w.score", F.when(~F.col("w.old"), F.col("w.seq")))
-    last = F.max_by("w.score", F.when(~F.col("w.old"), F.col("w.seq")))
-    if mode == "INCR":
-        score = F.sum("w.score")
+    first = F.min_by("w.score", F.when(of_log, F.col("w.seq")))
+    last = F.max_by("w.score", F.when(of_log, F.col("w.seq")))
+    if incr:
+        score = _increments(mode, compare, had, before, first)
     elif compare:
         score = {"GT": F.max, "LT": F.min}[compare]("w.score")
     elif mode == "NX":
@@ -152,8 +160,37 @@ def zadd(z: DataFrame, log: DataFrame, *, mode: str = "", compare: str = "") ->
         score = F.coalesce(last, before)
     out = every.groupBy("key", "member").agg(score.alias("score"), had.alias("_had"))
     out = out.where("_had") if mode == "XX" else out
+    refused = F.raise_error(F.lit("resulting score is not a number (NaN)")).cast("double")
     # -0.0 is stored as 0.0
-    return out.select("key", "member", (F.col("score") + F.lit(0.0)).alias("score"))
+    return out.select("key", "member", F.when(F.isnan("score"), refused).otherwise(F.col("score") + F.lit(0.0)).alias("score"))
+
+
+def _increments(mode: str, compare: str, had: Column, before: Column, first: Column) -> Column:
+    """An absent member takes its first increment whatever it is, so that is left out of those that
+    are held against GT or LT."""
+    if mode == "NX":
+        return F.coalesce(before, first)
+    by = F.col("w.score")
+    if not compare:
+        return F.sum(by)
+    counts = by > 0 if compare == "GT" else by < 0
+    moved = F.coalesce(F.sum(F.when(~F.col("w.old") & counts, by)), F.lit(0.0))
+    again = F.when(first > 0 if compare == "GT" else first < 0, first).otherwise(0.0)  # counted in ``moved`` too
+    return F.when(had, before + moved).when(F.abs(first) == float("inf"), first).otherwise(first + moved - again)
+
+
+def zadd_replies(z: DataFrame, after: DataFrame, *, changed: bool = False) -> DataFrame:
+    """(key, n): the members that a ZADD added, with ``changed`` (CH) also those whose score moved."""
+    both = after.select("key", "member", "score").join(z.select("key", "member", F.col("score").alias("_was")), ["key", "member"], "left")
+    counts = F.col("_was").isNull() | (F.col("_was") != F.col("score")) if changed else F.col("_was").isNull()
+    return both.groupBy("key").agg(F.count_if(counts).alias("n"))
+
+
+def zrangestore(found: DataFrame, dest, into: DataFrame | None = None, *, by_lex: bool = False) -> DataFrame:
+    """What a range of one key found as the sorted set ``dest``, in place of what ``into`` has under
+    that key; a range by member stores every score as 0."""
+    new = found.select(F.lit(dest).alias("key"), "member", (F.lit(0.0) if by_lex else F.col("score")).alias("score"))
+    return new if into is None else into.where(F.col("key") != F.lit(dest)).select("key", "member", "score").union(new)
 
 
 def zrandmember(z: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -8,11 +8,14 @@ class Book:
         self.queries: dict = {}
         self.oracles: dict = {}
 
-    def add(self, sql: str | None = None):
+    def add(self, sql: str | None = None, *, also: str | None = None):
+        """``also``: a second name under which the query is known."""
+
         def keep(f):
-            self.queries[f.__name__] = f
-            if sql:
-                self.oracles[f.__name__] = sql
+            for name in filter(None, (f.__name__, also)):
+                self.queries[name] = f
+                if sql:
+                    self.oracles[name] = sql
             return f
 
         return keep

@@ -41,14 +41,8 @@ def setnx_first(spark, d):
     return T.setnx(order_log(spark, d))
 
 
-@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE key % 2 = 0 AND seq >= 1000 AND key IN (SELECT key FROM log WHERE seq < 1000) GROUP BY key")
+@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE key IN ({SEGMENT}) GROUP BY key", also="set_xx_all")
 def set_xx(spark, d):
-    log = order_log(spark, d).where("key % 2 = 0")
-    return T.setxx(log.where("seq >= 1000"), T.set_last(log.where("seq < 1000")))
-
-
-@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE key IN ({SEGMENT}) GROUP BY key")
-def set_xx_all(spark, d):
     return T.setxx(order_log(spark, d), _segment(spark, d))
 
 
@@ -99,14 +93,8 @@ def setrange(spark, d):
     return read_table(spark, d, "part").select(F.col("p_partkey").alias("key"), T.setrange(F.col("p_name"), 3, "XYZ").cast("string").alias("value"))
 
 
-@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE seq < 1000 GROUP BY key")
+@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE key IN ({SEGMENT}) GROUP BY key", also="msetnx_refused_all")
 def msetnx_refused(spark, d):
-    log = order_log(spark, d)
-    return T.msetnx(T.set_last(log.where("seq < 1000")), T.set_last(log))
-
-
-@book.add(f"WITH {LOG} SELECT key, arg_max(value, seq) AS value FROM log WHERE key IN ({SEGMENT}) GROUP BY key")
-def msetnx_refused_all(spark, d):
     kv = T.set_last(order_log(spark, d))
     return T.msetnx(kv.join(_segment(spark, d), "key", "left_semi"), kv)
 
@@ -128,15 +116,17 @@ def expire_filter(spark, d):
     return K.live(expiring_events(spark, d), NOW)
 
 
-@book.add(f"WITH {EXP} SELECT key, greatest(expire_at, {NOW} + 3600000) AS expire_at FROM ex WHERE greatest(expire_at, {NOW} + 3600000) > {NOW}")
+@book.add(f"WITH {EXP}, alive AS (SELECT * FROM ex WHERE expire_at > {NOW}) SELECT key, CASE WHEN {NOW} + 3600000 > expire_at THEN {NOW} + 3600000 ELSE expire_at END AS expire_at FROM alive")
 def expire_gt(spark, d):
     return K.expire(expiring_events(spark, d), F.lit(NOW + 3600000), NOW, "GT")
 
 
-@book.add(f"WITH {EXP} SELECT key, CASE WHEN key % 10 = 0 THEN NULL ELSE expire_at END AS expire_at FROM ex")
+@book.add(f"WITH {EXP} SELECT key, CASE WHEN expire_at > {NOW} + 86400000 THEN NULL ELSE expire_at END AS expire_at FROM ex WHERE expire_at > {NOW}")
 def persist(spark, d):
+    """Of those asked for, keys that expire within a day keep their deadline and expired keys stay gone."""
     e = expiring_events(spark, d)
-    return K.persist(e, e.where("key % 10 = 0").select("key")).select("key", "expire_at")
+    asked = e.where((F.col("expire_at") > NOW + 86400000) | (F.col("expire_at") <= NOW))
+    return K.persist(e, asked.select("key"), NOW).select("key", "expire_at")
 
 
 @book.add(f"WITH {EXP} SELECT count(*) FILTER (WHERE expire_at <= {NOW}) AS expired, count(*) AS scanned FROM ex")
@@ -189,26 +179,14 @@ def del_keys(spark, d):
     return K.delete(customers_by_priority(spark, d), gone)
 
 
-@book.add(f"WITH {HASH} SELECT key, field, value FROM h WHERE key < 500")
+@book.add(f"WITH {HASH} SELECT key, field, value FROM h", also="hgetall_all")
 def hgetall(spark, d):
-    maps = H.hgetall(order_hashes(spark, d).where("key < 500"))
-    return maps.select("key", F.explode("fields").alias("field", "value"))
-
-
-@book.add(f"WITH {HASH} SELECT key, field, value FROM h")
-def hgetall_all(spark, d):
     maps = H.hgetall(order_hashes(spark, d))
     return maps.select("key", F.explode("fields").alias("field", "value"))
 
 
-@book.add("SELECT n AS pos, n * 2 AS key, f AS field, CASE f WHEN 'status' THEN o_orderstatus ELSE NULL END AS value FROM (SELECT unnest(range(0, 2000)) AS n), (VALUES ('status'), ('missing')) t(f) LEFT JOIN orders ON o_orderkey = n * 2")
+@book.add("SELECT o_orderkey AS pos, k AS key, f AS field, CASE f WHEN 'status' THEN status END AS value FROM (SELECT o_orderkey, unnest([o_orderkey, -1 - o_orderkey]) AS k FROM orders) r CROSS JOIN (VALUES ('status'), ('missing')) t(f) LEFT JOIN (SELECT o_orderkey AS ok, o_orderstatus AS status FROM orders) o ON ok = k", also="hmget_all")
 def hmget(spark, d):
-    request = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("key"), F.explode(F.array(F.lit("status"), F.lit("missing"))).alias("field"))
-    return H.hmget(order_hashes(spark, d), request)
-
-
-@book.add("SELECT o_orderkey AS pos, k AS key, f AS field, CASE f WHEN 'status' THEN status END AS value FROM (SELECT o_orderkey, unnest([o_orderkey, -1 - o_orderkey]) AS k FROM orders) r CROSS JOIN (VALUES ('status'), ('missing')) t(f) LEFT JOIN (SELECT o_orderkey AS ok, o_orderstatus AS status FROM orders) o ON ok = k")
-def hmget_all(spark, d):
     keys = _orders(spark, d).select(F.col("o_orderkey").alias("pos"), F.explode(F.array(F.col("o_orderkey"), -1 - F.col("o_orderkey"))).alias("key"))
     request = keys.select("pos", "key", F.explode(F.array(F.lit("status"), F.lit("missing"))).alias("field"))
     return H.hmget(order_hashes(spark, d), request)
@@ -236,9 +214,9 @@ def hlen(spark, d):
     return H.hlen(order_hashes(spark, d))
 
 
-@book.add(f"WITH {HASH} SELECT key, field FROM h WHERE key % 5 = 0 AND field = 'status'")
+@book.add(f"WITH {HASH} SELECT key, field FROM h WHERE field = 'status' AND key IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def hexists(spark, d):
-    request = _orders(spark, d).where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("key"), F.explode(F.array(F.lit("status"), F.lit("nope"))).alias("field"))
+    request = _orders(spark, d).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"), F.explode(F.array(F.lit("status"), F.lit("nope"))).alias("field"))
     return H.hexists(order_hashes(spark, d), request)
 
 
@@ -257,7 +235,7 @@ def _volatile(spark, d):
 VOL = f"{EXP}, vol AS (SELECT key, 'k' AS field, CASE WHEN key % 3 <> 0 THEN expire_at END AS expire_at FROM ex)"
 
 
-@book.add(f"WITH {VOL} SELECT key, field, CASE WHEN expire_at IS NULL OR {NOW} + 60000 < expire_at THEN 1 ELSE 0 END AS code, CASE WHEN expire_at IS NULL OR {NOW} + 60000 < expire_at THEN {NOW} + 60000 ELSE expire_at END AS expire_at FROM vol")
+@book.add(f"WITH {VOL} SELECT key, field, CASE WHEN expire_at <= {NOW} THEN -2 WHEN expire_at IS NULL OR {NOW} + 60000 < expire_at THEN 1 ELSE 0 END AS code, CASE WHEN expire_at <= {NOW} THEN NULL WHEN expire_at IS NULL OR {NOW} + 60000 < expire_at THEN {NOW} + 60000 ELSE expire_at END AS expire_at FROM vol")
 def hexpire_lt(spark, d):
     return H.hexpire(_volatile(spark, d), F.lit(NOW + 60000), NOW, "LT")
 
@@ -278,8 +256,12 @@ def hrandfield(spark, d):
     return H.hrandfield(order_hashes(spark, d), 1, seed=4)
 
 
-@book.add()
+_SLOT_STEP = "lambda c, i: CASE WHEN c & 32768 <> 0 THEN xor(c << 1, 4129) & 65535 ELSE (c << 1) & 65535 END"
+
+
+@book.add(f"SELECT c_name AS key, (list_reduce(list_transform(range(1, length(c_name) + 1), lambda i: ascii(c_name[i])), lambda crc, b: list_reduce(range(8), {_SLOT_STEP}, xor(crc, b << 8)), 0) % 16384)::INT AS slot FROM customer")
 def keyslot(spark, d):
+    """The names have no braces, so all of a name is hashed; SQL goes bit by bit."""
     return read_table(spark, d, "customer").select(F.col("c_name").alias("key"), key_slot(F.col("c_name")).alias("slot"))
 
 

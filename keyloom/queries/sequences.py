@@ -80,18 +80,33 @@ def lpush_rpush(spark, d):
     return L.push(e)
 
 
+#: Kinds of events, and the value from which on one counts: so the sets of users differ.
+KINDS = (("click", 120), ("view", 100), ("error", 110))
+
+
+def _valued(spark, d, bounds):
+    """(key, bit): the users with an event of a kind above its bound."""
+    e = read_table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("bit"), "value")
+    bound = F.create_map(*[F.lit(x) for kind in bounds for x in kind])
+    return e.where(F.col("value") > bound[F.col("key")]).select("key", "bit").distinct()
+
+
 def _users(spark, d, *kinds):
-    b = user_bits(spark, d)
-    # Every user has every kind of event, so a part of them is taken for each.
-    return [b.where((F.col("key") == k) & (F.col("bit") % m != 0)).select("bit") for k, m in kinds]
+    b = _valued(spark, d, kinds)
+    return [b.where(F.col("key") == k).select("bit") for k, _ in kinds]
+
+
+def _some(k: str, low: int) -> str:
+    return f"(SELECT DISTINCT user_id AS bit FROM events WHERE event_type = '{k}' AND value > {low})"
 
 
-def _some(k: str, m: int) -> str:
-    return f"(SELECT bit FROM b WHERE key = '{k}' AND bit % {m} <> 0)"
+A, V, W = (_some(*k) for k in KINDS)
+HIGH = 150
+RARE = f"b AS (SELECT DISTINCT event_type AS key, user_id AS bit FROM events WHERE value > {HIGH})"
 
 
-A, V, W = _some("click", 2), _some("view", 3), _some("error", 5)
-KINDS = (("click", 2), ("view", 3), ("error", 5))
+def _rare(spark, d):
+    return _valued(spark, d, [(k, HIGH) for k in ("click", "view", "purchase", "signup", "error")])
 
 
 @book.add(f"WITH {BITS} SELECT key, bit FROM b")
@@ -116,37 +131,66 @@ def bitcount_range(spark, d):
     return B.bitcount(user_bits(spark, d), 1, -2)
 
 
-@book.add(f"WITH {BITS} SELECT key, min(bit) AS bit FROM b WHERE bit % 7 <> 0 GROUP BY key")
+@book.add(f"WITH {RARE} SELECT key, min(bit) AS bit FROM b GROUP BY key")
 def bitpos(spark, d):
-    return B.bitpos(user_bits(spark, d).where("bit % 7 <> 0"), 1)
+    return B.bitpos(_rare(spark, d), 1)
 
 
-@book.add(f"WITH {BITS} SELECT key, min(g) AS bit FROM (SELECT DISTINCT key FROM b), (SELECT unnest(range(0, 100000)) AS g) WHERE (key, g) NOT IN (SELECT (key, bit) FROM b WHERE bit % 11 <> 5) GROUP BY key")
+@book.add(f"WITH {BITS}, g AS (SELECT key, bit, row_number() OVER (PARTITION BY key ORDER BY bit) - 1 AS r, max(bit) OVER (PARTITION BY key) AS last FROM b) SELECT key, coalesce(min(r) FILTER (WHERE r <> bit), max(last) + 1) AS bit FROM g GROUP BY key")
 def bitpos_zero(spark, d):
-    return B.bitpos(user_bits(spark, d).where("bit % 11 <> 5"), 0)
+    return B.bitpos(user_bits(spark, d), 0)
+
+
+@book.add(f"WITH {RARE}, n AS (SELECT key, (max(bit) // 8 + 1) * 8 AS n FROM b GROUP BY key), p AS (SELECT key, unnest(range(9, n - 5)) AS place FROM n) SELECT n.key, coalesce(min(place) FILTER (WHERE b.bit IS NULL), -1) AS bit FROM n LEFT JOIN p ON n.key = p.key LEFT JOIN b ON b.key = p.key AND b.bit = p.place GROUP BY n.key")
+def bitpos_bits(spark, d):
+    """The first 0 from the tenth bit on, not counting the last five."""
+    return B.bitpos(_rare(spark, d), 0, 9, -6, unit="BIT")
+
+
+@book.add(f"WITH {RARE}, n AS (SELECT key, (max(bit) // 8 + 1) * 8 AS n FROM b GROUP BY key) SELECT b.key, count(*) AS n FROM b JOIN n ON n.key = b.key WHERE bit >= 3 AND bit < n.n - 2 GROUP BY b.key")
+def bitcount_bits(spark, d):
+    return B.bitcount(_rare(spark, d), 3, -3, unit="BIT")
+
 
+@book.add("SELECT event_type AS key, user_id AS bit, event_id AS seq, coalesce(lag((value > 20)::INT) OVER (PARTITION BY event_type, user_id ORDER BY event_id), 0) AS old FROM events")
+def setbit_old(spark, d):
+    return B.setbit_replies(_bit_log(spark, d))
 
-@book.add(f"WITH {BITS} SELECT * FROM ({A} INTERSECT {V} INTERSECT {W})")
+
+def _bit_log(spark, d):
+    return read_table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("bit"), (F.col("value") > 20).cast("int").alias("on"), F.col("event_id").alias("seq"))
+
+
+@book.add("WITH l AS (SELECT event_type AS key, user_id AS bit, arg_max(value > 20, event_id) AS v FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id AS bit FROM events), k AS (SELECT DISTINCT event_type AS key FROM events) SELECT k.key, u.bit, coalesce(v, false)::INT AS value FROM k CROSS JOIN u LEFT JOIN l ON l.key = k.key AND l.bit = u.bit")
+def getbit(spark, d):
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("click", "view", "purchase", "signup", "error")])).alias("key")
+    request = read_table(spark, d, "events").select(F.col("user_id").alias("bit")).distinct().select(kinds, "bit")
+    return B.getbit(B.setbit(_bit_log(spark, d)), request)
+
+
+@book.add(f"SELECT * FROM ({A} INTERSECT {V} INTERSECT {W})")
 def bitop_and(spark, d):
     return B.bitop("AND", _users(spark, d, *KINDS))
 
 
-@book.add(f"WITH {BITS} SELECT * FROM ({A} UNION {V} UNION {W})")
+@book.add(f"SELECT * FROM ({A} UNION {V} UNION {W})")
 def bitop_or(spark, d):
     return B.bitop("OR", _users(spark, d, *KINDS))
 
 
-@book.add(f"WITH {BITS} SELECT bit FROM ({A} UNION ALL {V} UNION ALL {W}) GROUP BY bit HAVING count(*) % 2 = 1")
+@book.add(f"SELECT bit FROM ({A} UNION ALL {V} UNION ALL {W}) GROUP BY bit HAVING count(*) % 2 = 1")
 def bitop_xor(spark, d):
     return B.bitop("XOR", _users(spark, d, *KINDS))
 
 
-@book.add(f"WITH {BITS} SELECT x AS bit FROM (SELECT unnest(range(0, (SELECT (max(bit) // 8 + 1) * 8 FROM {A}))) AS x) WHERE x NOT IN {A}")
+@book.add(f"SELECT x AS bit FROM (SELECT unnest(range(0, (SELECT (max(user_id) // 8 + 1) * 8 FROM events WHERE event_type = 'click'))) AS x) WHERE x NOT IN {A}")
 def bitop_not(spark, d):
-    return B.bitop("NOT", _users(spark, d, KINDS[0]))
+    """As long as its source, which SETBIT has lengthened also where the last bits are 0 now."""
+    log = _bit_log(spark, d).where("key = 'click'")
+    return B.bitop("NOT", _users(spark, d, KINDS[0]), B.bytes_written(log).select("n_bytes"))
 
 
-@book.add(f"WITH {BITS} SELECT * FROM ({A} EXCEPT ({V} UNION {W}))")
+@book.add(f"SELECT * FROM ({A} EXCEPT ({V} UNION {W}))")
 def bitop_diff(spark, d):
     return B.bitop("DIFF", _users(spark, d, *KINDS))
 
@@ -170,13 +214,42 @@ def pubsub_numsub(spark, d):
     return pubsub.numsub(spark.createDataFrame(SUBSCRIPTIONS, "session string, channel string"))
 
 
-@book.add("""WITH r AS (SELECT user_id AS key, event_id AS req, epoch_us(ts) // 1000 AS asked, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE event_type = 'view'),
-a AS (SELECT user_id AS key, event_id AS item, epoch_us(ts) // 1000 AS came, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE event_type = 'click')
-SELECT r.key, req, CASE WHEN came IS NOT NULL AND greatest(0, came - asked) <= 86400000 THEN item END AS item, CASE WHEN came IS NOT NULL AND greatest(0, came - asked) <= 86400000 THEN greatest(0, came - asked) END AS wait FROM r LEFT JOIN a ON r.key = a.key AND r.n = a.n""")
-def blpop_match(spark, d):
+DAY = 86_400_000
+#: Requests are views, items clicks; one event after the other moves each user's two queues.
+_QUEUE = f"""WITH RECURSIVE e AS (
+  SELECT user_id AS key, event_id AS id, epoch_us(ts) // 1000 AS t, event_type = 'view' AS asks,
+         row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type = 'view', event_id) AS n
+  FROM events WHERE event_type IN ('view', 'click')
+), s AS (
+  SELECT DISTINCT key, 0::BIGINT AS n, []::BIGINT[] AS items, []::STRUCT(id BIGINT, t BIGINT)[] AS waiting,
+         NULL::BIGINT AS req, NULL::BIGINT AS item, NULL::BIGINT AS wait FROM e
+  UNION ALL
+  SELECT key, n,
+    CASE WHEN asks THEN items[2:] WHEN len(still) > 0 THEN items ELSE list_append(items, id) END,
+    CASE WHEN asks AND len(items) = 0 THEN list_append(still, {{'id': id, 't': t}}) WHEN NOT asks AND len(still) > 0 THEN still[2:] ELSE still END,
+    CASE WHEN asks AND len(items) > 0 THEN id WHEN NOT asks AND len(still) > 0 THEN still[1].id END,
+    CASE WHEN asks AND len(items) > 0 THEN items[1] WHEN NOT asks AND len(still) > 0 THEN id END,
+    CASE WHEN asks AND len(items) > 0 THEN 0 WHEN NOT asks AND len(still) > 0 THEN t - still[1].t END
+  FROM (SELECT e.*, s.items, list_filter(s.waiting, lambda w: e.t <= w.t + {{timeout}}) AS still FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+)
+SELECT e.key, e.id AS req, s.item, s.wait FROM e LEFT JOIN s ON s.req = e.id WHERE e.asks"""
+
+
+def _queue(spark, d, timeout):
     e = read_table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
     side = lambda kind, name: e.where(F.col("event_type") == kind).select("key", F.col("event_id").alias(name), "at")
-    return blocking.blpop(side("view", "req"), side("click", "item"), 86400000)
+    return blocking.blpop(side("view", "req"), side("click", "item"), timeout)
+
+
+@book.add(_QUEUE.replace("{timeout}", str(DAY)))
+def blpop_match(spark, d):
+    return _queue(spark, d, DAY)
+
+
+@book.add(_QUEUE.replace("{timeout}", str(DAY // 24)))
+def blpop_hour(spark, d):
+    """With a timeout that many requests do not live to see an item in."""
+    return _queue(spark, d, DAY // 24)
 
 
 @book.add("SELECT key, value FROM (SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) WHERE p < 400000")
@@ -194,12 +267,13 @@ def replay_zset(spark, d):
     return replay.zsets(log)
 
 
-@book.add("SELECT key, CASE WHEN key % 10 = 0 THEN 'T' ELSE value END AS value FROM (SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY 1)")
+@book.add("SELECT key, CASE WHEN key IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'T' ELSE value END AS value FROM (SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY 1)")
 def multi_exec(spark, d):
     from keyloom.operators.strings import set_last
 
     kv = set_last(order_log(spark, d))
-    batch = kv.where("key % 10 = 0").select("key", F.lit(1).alias("seq"), F.lit("T").alias("value"))
+    some = read_table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
+    batch = kv.join(some, "key", "left_semi").select("key", F.lit(1).alias("seq"), F.lit("T").alias("value"))
     versions = order_log(spark, d).groupBy("key").agg(F.max("seq").alias("version"))
     return transactions.execute(kv, batch, watched=versions, current=versions)
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is hot with more than this part of all rows, so there are no more hot keys than this.
+#: Hot keys there may be at most, whatever the session's number of shuffle partitions.
 MAX_HOT = 8000
 
 
-def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _parts) of the hot keys of a stored table of counts (keys, n): how many parts of 1 /
-    ``MAX_HOT`` of all rows each has. At most ``MAX_HOT`` rows, whatever the input, so they may be broadcast."""
-    share = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) // MAX_HOT + 1
+def hot_keys(counts: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """(keys, _parts) of the hot keys of a stored table of counts (keys, n): those with more rows than
+    an even task would have, and how many such tasks they fill. That is at most ``most`` rows, by
+    default the number of shuffle partitions, so they may be broadcast whatever the input."""
+    most = most or min(MAX_HOT, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) // most + 1
     return counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
 
 
@@ -24,8 +26,9 @@ def _dealt(big: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> Da
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, *, by: list[str], how: str = "inner") -> DataFrame:
     """The equi-join of ``big`` with ``small``: the rows of a hot key are dealt to its parts by a hash
     of the columns ``by``, and the rows of ``small`` go to each. No part has much more than its share."""
-    parts = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return _dealt(big, keys, hot, by).join(parts, [*keys, "_salt"], how).drop("_salt")
+    cold = small.join(F.broadcast(hot), keys, "left_anti").withColumn("_salt", F.lit(0))
+    every = small.join(F.broadcast(hot), keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return _dealt(big, keys, hot, by).join(cold.unionByName(every), [*keys, "_salt"], how).drop("_salt")
 
 
 def first_of_each(rows: DataFrame, keys: list[str], hot: DataFrame, order: list, n: int, *, by: list[str]) -> DataFrame:

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 
 @pytest.fixture
-def frames(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_HOT", 20)
+def frames(spark):
     key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 50).otherwise(F.col("id"))
     big = spark.range(3000).select(key.alias("key"), F.col("id").alias("v"))
     small = spark.range(60).select(F.col("id").alias("key"), (F.col("id") * 10).alias("w")).union(spark.createDataFrame([(7, 1), (None, 2)], "key long, w long"))
     counts = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return big, small, counts, skew.hot_keys(counts, ["key"])
+    return big, small, counts, skew.hot_keys(counts, ["key"], 20)
 
 
 def rows(df):
@@ -48,7 +47,7 @@ def test_first_of_each(frames):
 
 
 def test_one_line_in_most_documents(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_HOT", 10)
+    monkeypatch.setattr(skew, "MAX_HOT", 3)
     rng = random.Random(4)
     docs = [(i, "\n".join(rng.choice(["the very common line", f"a line of its own {i} {k}", "THE VERY COMMON LINE ", f"held by a few {rng.randrange(9)}"]) for k in range(6))) for i in range(200)]
     first = {}

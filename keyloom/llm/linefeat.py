@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+from keyloom.llm.text import at_blanks
+
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -110,22 +111,10 @@ def read_lines(texts: list[str]) -> Lines:
     return Lines(np.concatenate(counts) if counts else np.zeros((0, len(_KINDS)), np.int64), cat(docs, np.int64), cat(words, np.int64), cat(repeated, bool), cat(last, np.int64))
 
 
-def _words(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some ``STRIDE`` bytes of it at a time. bytes split at ASCII blanks only."""
-    lo = 0
-    while len(raw) - lo > 2 * STRIDE:
-        hi = lo + STRIDE
-        while hi < len(raw) and not _IN[raw[hi], 0]:
-            hi += 1
-        yield raw[lo:hi].split()
-        lo = hi
-    yield raw[lo:].split()
-
-
 def repeated_words(text: str) -> tuple[int, int]:
     """(words of ``text`` inside a 3-word window found twice or more, distinct words)."""
     number: dict[bytes, int] = {}
-    a = np.concatenate([np.fromiter((number.setdefault(w, len(number)) for w in some), np.int64, len(some)) for some in _words(text.encode("utf-8", "replace"))])
+    a = np.concatenate([np.fromiter((number.setdefault(w, len(number)) for w in some), np.int64, len(some)) for some in map(bytes.split, at_blanks(text.encode("utf-8", "replace"), STRIDE))])  # bytes split at ASCII blanks only
     if len(a) < 4 or len(number) == len(a):
         return 0, len(number)
     m = len(number)

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.components import connected_components
 from keyloom.llm.scratch import cut
 from keyloom.llm.skew import first_of_each, hot_keys, salted_join
+from keyloom.llm.text import at_blanks
 from keyloom.sources import read_table
 
 SHINGLE = 5
@@ -100,7 +101,8 @@ class Shingler:
         return mix(np.add.reduceat(codes, start) + length.astype(_U))
 
     def hashes(self, text: str | None) -> np.ndarray:
-        w = self._words(np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8))
+        raw = (text or "").encode("utf-8", "replace").lower()
+        w = np.concatenate([self._words(np.frombuffer(part, np.uint8)) for part in at_blanks(raw, 16 * self.STRIDE)])
         if not len(w):
             return w
         if len(w) < self.size:

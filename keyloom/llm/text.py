@@ -14,6 +14,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
@@ -31,6 +32,18 @@ def fold(c: Column, folds: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % folds
 
 
+def at_blanks(raw: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that end where a word does."""
+    lo = 0
+    while len(raw) - lo > 2 * size:
+        blank = _BLANK.search(raw, lo + size)
+        if not blank:
+            break
+        yield raw[lo : blank.start()]
+        lo = blank.start()
+    yield raw[lo:]
+
+
 def text_groups(column: pa.Array, rows: int = 400, chars: int = 1 << 21) -> Iterator[list[str]]:
     """The texts of a batch in turn, nulls as empty: at most ``rows`` at a time, and no more once they
     have ``chars`` characters, so that long texts do not pile up."""

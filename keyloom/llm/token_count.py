@@ -5,7 +5,12 @@ in a word and dynamic programming carries, for each end, the best score and its
 Ties go as in the tokenizer: among equal scores the piece that begins first, the longest, wins, a
 character that no piece covers costs the lowest score less 10, and neighbouring unknown characters
 are one unknown piece. A space becomes a mark at the front of the next word, so words are counted
-apart, and a word's count is remembered in the Python worker.
+apart, and a word's count is remembered in the Python worker. A text without spaces is one word; a
+long one is counted in memory bounded by the longest piece.
+
+The vocabulary of the query is that of a merge-rank tokenizer (the pieces of ``piece_bpe_32k.model``
+with their scores, less the rank), taken as a unigram model: the counts are those of a unigram
+tokenizer over it and not those of the file's own algorithm, which merges pairs.
 
 A null text counts 0, as an empty one does. Each row gets its row; other columns are not read.
 """
@@ -21,6 +26,8 @@ from keyloom.sources import read_table
 
 #: Words remembered in a Python worker.
 REMEMBERED = 500_000
+#: Characters of the longest word that is remembered, and of the longest whose ends are all kept.
+LONGEST, IN_RING = 128, 4096
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _LEAST = float("-inf")
@@ -45,6 +52,7 @@ class PieceCounter:
                 self.auto.add_word(piece, (len(piece), score))
         self.auto.make_automaton()
         #: With every character of a word among these, nothing is unknown.
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.remembered = remembered
@@ -59,8 +67,8 @@ class PieceCounter:
     def count_word(self, word: str) -> int:
         """Pieces of ``word`` as it stands. The automaton gives matches by their end, the longest first."""
         n = len(word)
-        if not self.single.issuperset(word):
-            return self._count_with_unknown(word)
+        if n > IN_RING or not self.single.issuperset(word):
+            return self._count_in_ring(word)
         best, count = [_LEAST] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for last, (length, score) in self.auto.iter(word):
@@ -71,23 +79,27 @@ class PieceCounter:
                 count[last + 1] = count[at] + 1
         return count[n]
 
-    def _count_with_unknown(self, word: str) -> int:
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.auto.iter(word) if len(self.auto) else ():
-            ends[last + 1].append((length, score))
-        best, count, unknown = [_LEAST] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+    def _count_in_ring(self, word: str) -> int:
+        """The same with unknown characters, or for a long word: of the ends behind, as many are kept as
+        the longest piece reaches back."""
+        size = self.longest + 1
+        best, count, unknown = [_LEAST] * size, [0] * size, [False] * size
         best[0] = 0.0
-        for e in range(1, n + 1):
-            for length, score in ends[e]:
-                s = best[e - length] + score
-                if s > best[e]:
-                    best[e], count[e] = s, count[e - length] + 1
-            s = best[e - 1] + self.unknown
-            if word[e - 1] not in self.single and s > best[e]:
-                best[e], unknown[e] = s, True
-                count[e] = count[e - 1] + (not unknown[e - 1])
-        return count[n]
+        matches = iter(self.auto.iter(word) if len(self.auto) else ())
+        match = next(matches, None)
+        for e in range(1, len(word) + 1):
+            top, pieces, odd = _LEAST, 0, False
+            while match and match[0] + 1 == e:
+                length, score = match[1]
+                at = (e - length) % size
+                if best[at] + score > top:
+                    top, pieces = best[at] + score, count[at] + 1
+                match = next(matches, None)
+            at = (e - 1) % size
+            if word[e - 1] not in self.single and best[at] + self.unknown > top:
+                top, pieces, odd = best[at] + self.unknown, count[at] + (not unknown[at]), True
+            best[e % size], count[e % size], unknown[e % size] = top, pieces, odd
+        return count[len(word) % size]
 
     def many(self, texts: list[str]) -> list[int]:
         split = [[MARK + w for w in (t if t[0] != " " else t[1:]).split(" ")] if t else [] for t in (t.replace(MARK, " ") for t in texts)]
@@ -99,7 +111,11 @@ class PieceCounter:
             count = self.count_word
             self.known.update((w, count(w)) for w in new)
         get = self.known.__getitem__
-        return [sum(map(get, words)) for words in split]
+        out = [sum(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return out
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

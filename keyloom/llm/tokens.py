@@ -15,6 +15,8 @@ import numpy as np
 
 #: Entries remembered in a Python worker, about 220 bytes each; the table starts anew beyond it.
 REMEMBERED = 600_000
+#: Characters of the longest chunk that is remembered: text without blanks is one chunk of any size.
+LONGEST = 128
 #: Python splits at these, the tokenizer's expression does not: such texts go through it whole.
 _ODD = re.compile(r"[\x1c-\x1f]")
 _MARKS = ".,!?;:"
@@ -97,7 +99,12 @@ class ChunkTokenizer:
                 new = set().union(*own)
             self._learn(new)
         get = self.known.__getitem__
-        return [self._encode([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, split, strict=True)]
+        out = [self._encode([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, split, strict=True)]
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                self.known.pop(chunk, None)
+                self.known.pop(chunk.rstrip(_MARKS), None)
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.many([text])[0]

@@ -6,23 +6,13 @@ costly step (tokenizing, hashing) runs once however many later steps read it.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyloom.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Where it is unset a session within one process gets a
-    local folder; on a cluster, where executors would not see it, that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["cut", "forget", "forget_at_end", "shared_dir"]
 
 
 def _store(spark: SparkSession, path: str) -> tuple:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ def blocking_pops(events: DataFrame, timeout_ms: int = 0) -> DataFrame:
     longer than ``timeout_ms`` (0: for ever) is answered with a null item."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, waiters, due = (list(x) for x in state.get) if state.exists else ([], [], [])
+        items, waiters, due = map(deque, state.get if state.exists else ([], [], []))
         out = []
         now = state.getCurrentProcessingTimeMs() if timeout_ms else 0
         rows = pd.concat(list(frames)) if not state.hasTimedOut else pd.DataFrame()
@@ -29,13 +30,13 @@ def blocking_pops(events: DataFrame, timeout_ms: int = 0) -> DataFrame:
                     waiters.append(id_)
                     due.append(now + timeout_ms)
                 while items and waiters:
-                    out.append((key[0], waiters.pop(0), items.pop(0)))
-                    due.pop(0)
+                    out.append((key[0], waiters.popleft(), items.popleft()))
+                    due.popleft()
         while timeout_ms and due and due[0] <= now:
-            out.append((key[0], waiters.pop(0), None))
-            due.pop(0)
+            out.append((key[0], waiters.popleft(), None))
+            due.popleft()
         if items or waiters:
-            state.update((items, waiters, due))
+            state.update(tuple(map(list, (items, waiters, due))))
             if timeout_ms and due:
                 state.setTimeoutDuration(max(1, due[0] - now))
         elif state.exists:

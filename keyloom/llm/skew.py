@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hot keys there may be at most, whatever the session's number of shuffle partitions.
@@ -11,9 +11,9 @@ MAX_HOT = 8000
 
 def hot_keys(counts: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """(keys, _parts) of the hot keys of a stored table of counts (keys, n): those with more rows than
-    an even task would have, and how many such tasks they fill. That is at most ``most`` rows, by
-    default the number of shuffle partitions, so they may be broadcast whatever the input."""
-    most = most or min(MAX_HOT, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    two even tasks would have, and how many such parts they fill. That is at most ``most`` rows, by
+    default half the shuffle partitions, so they may be broadcast whatever the input."""
+    most = most or max(2, min(MAX_HOT, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2))
     share = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) // most + 1
     return counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
 
@@ -29,9 +29,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFram
     cold = small.join(F.broadcast(hot), keys, "left_anti").withColumn("_salt", F.lit(0))
     every = small.join(F.broadcast(hot), keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return _dealt(big, keys, hot, by).join(cold.unionByName(every), [*keys, "_salt"], how).drop("_salt")
-
-
-def first_of_each(rows: DataFrame, keys: list[str], hot: DataFrame, order: list, n: int, *, by: list[str]) -> DataFrame:
-    """The first ``n`` rows of every key: of each part of a hot key first, then of what these leave."""
-    part = _dealt(rows, keys, hot, by).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_n") <= n).drop("_n", "_salt")
-    return part.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

@@ -36,16 +36,6 @@ def test_salted_join_equals_the_plain_one(frames, how):
     assert max(r["count"] for r in dealt.collect()) < 2 * (3000 // 20)
 
 
-def test_first_of_each(frames):
-    big, _, _, hot = frames
-    got = skew.first_of_each(big, ["key"], hot, [F.xxhash64("v")], 3, by=["v"])
-    order = {v: i for i, (v,) in enumerate(big.orderBy(F.xxhash64("v")).select("v").collect())}
-    want = {}
-    for k, v in sorted(map(tuple, big.collect()), key=lambda x: order[x[1]]):
-        want.setdefault(k, []).append((k, v))
-    assert rows(got) == sorted((x for own in want.values() for x in own[:3]), key=repr)
-
-
 def test_one_line_in_most_documents(spark, monkeypatch):
     monkeypatch.setattr(skew, "MAX_HOT", 3)
     rng = random.Random(4)
